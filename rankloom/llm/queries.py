@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import _common, bpe, fingerprints, packing, simhash, tiff, toxicity
+from rankloom.llm import _common, bpe, fingerprints, packing, simhash, suffix_dedup, tiff, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +37,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_common.documents(spark, sf_dir), length=200)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op4_fingerprints, op5_tiff, op7_toxicity, op8_packing, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_fingerprints, op5_tiff, op7_toxicity, op8_packing, op9_suffix_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
