@@ -377,10 +377,11 @@ def _halve(texts: DataFrame, length: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["r", "s", "e", "kernel", "whole"])
 
         marks = _common.cut(todo.select("r", "ah", "lft", "ctx", "ranges").mapInArrow(hashes, "r long, s int, e int, kernel long, whole long"), "marks")
-        counts = marks.groupBy("kernel", "s", "e", "whole").agg(F.count("*").alias("n"))
-        kernels = counts.groupBy("kernel", "s", "e").agg(F.sum("n").alias("total"))
-        judged = _common.cut(marks.join(counts, ["kernel", "s", "e", "whole"]).join(kernels, ["kernel", "s", "e"]).filter("total > 1").select("r", "s", "e", (F.col("n") > 1).alias("hit")), "judged")
-        per_row = judged.groupBy("r").agg(F.collect_list(F.when(F.col("hit"), F.struct("s", "e"))).alias("hits"), F.flatten(F.collect_list(F.when(~F.col("hit") & (F.col("e") > F.col("s")), F.array(F.struct("s", ((F.col("s") + F.col("e")) / 2).cast("int").alias("e")), F.struct((((F.col("s") + F.col("e")) / 2).cast("int") + 1).alias("s"), "e"))))).alias("rest"))
+        counts = marks.groupBy("kernel", "s", "e", "whole").agg(F.count("*").alias("n"), F.min("r").alias("first"))
+        kernels = counts.groupBy("kernel", "s", "e").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        # Of contexts that agree one goes on, for those that agree with it in a part of the range only.
+        judged = _common.cut(marks.join(counts, ["kernel", "s", "e", "whole"]).join(kernels, ["kernel", "s", "e"]).filter("total > 1").select("r", "s", "e", (F.col("n") > 1).alias("hit"), ((F.col("r") == F.col("first")) & (F.col("kinds") > 1) & (F.col("e") > F.col("s"))).alias("go")), "judged")
+        per_row = judged.groupBy("r").agg(F.collect_list(F.when(F.col("hit"), F.struct("s", "e"))).alias("hits"), F.flatten(F.collect_list(F.when(F.col("go"), F.array(F.struct("s", ((F.col("s") + F.col("e")) / 2).cast("int").alias("e")), F.struct((((F.col("s") + F.col("e")) / 2).cast("int") + 1).alias("s"), "e"))))).alias("rest"))
         after = _common.cut(todo.drop("ranges").join(per_row, "r"), "ranges")
         results.append(after.filter(F.size("hits") > 0).select("ah", "ch", "lft", F.octet_length("ctx").alias("n"), "hits"))
         todo = after.filter(F.size("rest") > 0).select("r", "ah", "ch", "lft", "ctx", F.col("rest").alias("ranges"))
