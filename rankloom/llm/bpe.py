@@ -85,7 +85,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one rank file in one DuckDB connection."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "400MB", most: int = 500_000):
+    def __init__(self, path: str, pattern: str, memory: str = "400MB", most: int = 800_000):
         self.words, self.most = {}, most
         ranks = load_ranks(path)
         self.ranks, self.pattern, self.bytes_of = ranks, regex.compile(pattern), {i: b for b, i in ranks.items()}
@@ -154,7 +154,7 @@ class Codec:
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> tuple[Codec, Memo]:
     made = Codec(path, pattern)
-    return made, Memo(made.encode_pieces, 350_000)
+    return made, Memo(made.encode_pieces, 550_000)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -164,7 +164,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches):
         made, memo = codec(path, pattern)
-        for b in _common.slices(batches, "text"):
+        for b in _common.slices(batches, "text", 8 << 20):
             cuts = [pieces(x or "") for x in b.column(1).to_pylist()]
             memo.learn(cuts)
             known, firsts = memo.known, memo.firsts
