@@ -186,13 +186,19 @@ def title_matches(features: list[list[tuple[int, int]]], fields: list[Field], hf
             heads.setdefault((f.hstart, f.hend), []).append(f)
     for (hs, he), _ in heads.items():
         for first in range(n):
+            if hs not in at[first]:
+                continue
             p, k = hs, first
             while k < n and p < he and p in at[k]:
                 p += at[k][p]
                 k += 1
                 runs[hs, he].append((first, k, p >= he))
     contents = sorted({(f.cstart, f.cend) for f in fields})
-    deep = {h: sum(1 for c in contents if c[0] <= h[0] and h[1] <= c[1] and c not in {(f.cstart, f.cend) for f in heads[h]}) for h in heads}
+    # Only headings that some run of features starts can matter; contents of other structures that cover them are counted.
+    deep = {}
+    for h in runs:
+        own = {(f.cstart, f.cend) for f in heads[h]}
+        deep[h] = sum(1 for c in contents[: bisect.bisect_right(contents, (h[0], 1 << 60))] if h[1] <= c[1] and c not in own)
     best: dict[tuple[int, int], float] = {}
     queue = []
     for h, rs in runs.items():

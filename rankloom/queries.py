@@ -194,12 +194,17 @@ register("g02_bm25pff")(_pff)
 
 
 def _title(c: Corpus) -> DataFrame:
-    q = ranked(c, scheme(Call("title", {"match": "match"})), [(THE, 1.0), (OF, 1.0)], [Join("sequence_imm", (THE, OF))])
+    q = ranked(c, scheme(Call("title", {"match": "match"})), [(THE, 1.0)], [THE])
     return q.evaluate().ranks.select(F.col("rank").cast("bigint").alias("rank"), "docno", "fstart", "fend", F.round("weight", 6).alias("weight"))
 
 
-# A heading that starts with "the of" and nothing more has its content as a field with weight 1.
-register("g08_title")(_title)
+# Headings that start with the only feature: the first sentence, and the content that it is the title of.
+_TITLE = """t AS (SELECT docno FROM post WHERE type = 'word' AND value = 'the' AND pos = 1), f AS (
+  SELECT s.docno, s.a AS fstart, s.b AS fend FROM sent s JOIN t USING (docno) WHERE s.i = 1 AND s.b - s.a <= 64
+  UNION ALL SELECT s.docno, e.e, e.last + 1 FROM sent s JOIN t USING (docno) JOIN ends e USING (docno) WHERE s.i = 1 AND s.b - s.a <= 64 AND e.e > 1),
+r AS (SELECT *, row_number() OVER (ORDER BY docno DESC, fend DESC, fstart DESC) AS rank FROM f)
+SELECT rank, docno, fstart, fend, 1.0::DOUBLE AS weight FROM r WHERE rank <= 20"""
+register("g08_title", BASE + _TITLE)(_title)
 
 # Filters -------------------------------------------------------------------------------------------------------------------
 
