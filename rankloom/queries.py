@@ -482,7 +482,7 @@ SCALAR = {
     "asin": ("asin(y)", "asin(y)"),
     "acos": ("acos(y)", "acos(y)"),
     "atan": ("atan(x)", "atan(x)"),
-    "if_gt": ("if_gt(x, 25, x, -y)", "CASE WHEN x > 25 THEN x ELSE -y END"),
+    "if_gt": ("if_gt(x, 25, x, y - 1)", "CASE WHEN x > 25 THEN x ELSE y - 1 END"),
     "if_ge": ("if_ge(x, 25, x, y)", "CASE WHEN x >= 25 THEN x ELSE y END"),
     "if_lt": ("if_lt(x, 25, x, y)", "CASE WHEN x < 25 THEN x ELSE y END"),
     "if_le": ("if_le(x, 25, x, y)", "CASE WHEN x <= 25 THEN x ELSE y END"),
