@@ -26,18 +26,33 @@ def pieces(text: str) -> tuple[str, list[str]]:
 class Memo:
     """What fn makes of pieces, remembered up to `most` of them; fn takes a list of whole pieces."""
 
-    def __init__(self, fn, most: int = 600_000):
+    def __init__(self, fn, most: int = 900_000):
         self.fn, self.most, self.known, self.firsts = fn, most, {}, {}
 
-    def learn(self, cuts: list[tuple[str, list[str]]]) -> None:
+    def values(self, cuts: list[tuple[str, list[str]]]) -> list[list]:
+        """What fn makes of each text's pieces, in order.  Each piece is looked up once; those not known go through fn together."""
         if len(self.known) > self.most:
             self.known.clear()
         if len(self.firsts) > self.most // 8:
             self.firsts.clear()
-        known = self.known
-        new = list({x for _, rest in cuts for x in rest if x not in known})
-        firsts = list({x for x, _ in cuts if x not in self.firsts})
-        if new or firsts:
-            made = self.fn([" " + x for x in new] + firsts)
-            known.update(zip(new, made))
-            self.firsts.update(zip(firsts, made[len(new) :]))
+        known, firsts, out, gaps, new = self.known, self.firsts, [], [], set()
+        get = known.get
+        for first, rest in cuts:
+            v = list(map(get, rest))
+            if None in v:
+                at = [i for i, x in enumerate(v) if x is None]
+                gaps.append((v, rest, at))
+                new.update([rest[i] for i in at])
+            out.append(v)
+        ahead = list({x for x, _ in cuts if x not in firsts})
+        if new or ahead:
+            rest = list(new)
+            made = self.fn([" " + x for x in rest] + ahead)
+            known.update(zip(rest, made))
+            firsts.update(zip(ahead, made[len(rest) :]))
+        for v, rest, at in gaps:
+            for i in at:
+                v[i] = known[rest[i]]
+        for (first, _), v in zip(cuts, out):
+            v.insert(0, firsts[first])
+        return out

@@ -166,11 +166,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         made, memo = codec(path, pattern)
         for b in _common.slices(batches, "text", 8 << 20):
             cuts = [pieces(x or "") for x in b.column(1).to_pylist()]
-            memo.learn(cuts)
-            known, firsts = memo.known, memo.firsts
             count, ids, decoded = [], [], []
-            for first, rest in cuts:
-                both = [firsts[first], *[known[x] for x in rest]]
+            for both in memo.values(cuts):
                 i, d = (b"".join(x) for x in zip(*both))
                 count.append(len(i) // 4)
                 ids.append(i if keep_ids else hashlib.sha256(i).hexdigest())

@@ -48,7 +48,7 @@ def _memo(path: str, pattern: str) -> Memo:
     words: dict[str, bytes] = {}
 
     def ids(texts: list[str]) -> list[bytes]:
-        if len(words) > 500_000:
+        if len(words) > 800_000:
             words.clear()
         out = []
         for x in texts:
@@ -69,12 +69,11 @@ def token_pieces(df: DataFrame, tokenizer: str, pattern: str, capacity: int = 20
 
     def run(batches):
         memo = _memo(tokenizer, pattern)
-        for b in _common.slices(batches, "text"):
+        for b in _common.slices(batches, "text", 8 << 20):
             cuts = [pieces(x or "") for x in b.column(2).to_pylist()]
-            memo.learn(cuts)
-            known, firsts, out = memo.known, memo.firsts, []
-            for doc, copy, (first, rest) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cuts):
-                ids = firsts[first] + b"".join([known[x] for x in rest]) + end
+            out = []
+            for doc, copy, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), memo.values(cuts)):
+                ids = b"".join(found) + end
                 n = len(ids) // 4
                 at, k = 0, 0
                 size = n if n <= capacity else n % capacity or capacity
