@@ -11,9 +11,9 @@ of a corpus would shuffle each byte hundreds of times, so the sort is sparse:
   polynomial hashes, in logarithmic time.  Neighbours' common extensions give, for each length to the right, intervals
   of suffixes that agree; suffixes of an interval with equal hashes to the left share a string.  Each pair so found is
   verified byte by byte; a collision sends the batch to an exact comparison.
-* Anchors with more than `most` different contexts aren't gathered.  Their strings are halved by place in rounds: a range
+* Anchors with more than `most` different contexts aren't gathered.  Their strings are split by place in rounds: a range
   of places has its own common part and its own context, both only as hashes, which Spark counts with partial sums; a
-  range whose contexts still differ is halved again, down to single strings.
+  range whose contexts still differ is split in four again, down to single strings.
 
 Texts are identified by id and a hash of the text.  Defined results: null and empty texts keep nothing and lose nothing;
 texts shorter than `length` keep all; repeated rows repeat each other's strings; null ids are allowed.
@@ -35,8 +35,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-#: Bytes of one side that may be sent to every task; beyond, both sides are shuffled.
-SMALL = 24 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,34 +241,32 @@ _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _SPAN_SQL = "array<struct<s:int,e:int>>"
 
 
-def _joined(big: DataFrame, small: DataFrame, on: list[str], how: str, size: int) -> DataFrame:
-    """A join that sends the small side to every task only where its size was measured as small."""
-    return big.join(F.broadcast(small) if size <= SMALL else small, on, how)
-
-
-def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> tuple[DataFrame, int]:
-    """(_did, _rk, spans): the bytes of each text that repeated strings cover, merged; and about its size in bytes.
+def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> DataFrame:
+    """(_did, _rk, spans): the bytes of each text that repeated strings cover, merged.
 
     df has _did, _rk and text, see keyed()."""
     spark, reach = df.sparkSession, length - k
     n = _common.partitions_for(spark)
 
     def emit(batches):
-        for b in _common.slices(batches, "text", 2 << 20):
+        for b in _common.slices(batches, "text", 1 << 20):
             did, rk = b.column(0).to_numpy(), b.column(1).to_numpy()
             own, place, ah, ch = anchors([(x or "").encode() for x in b.column(2).to_pylist()], length, k)
             yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(did[own]), pa.array(rk[own]), pa.array(place.astype(np.int32))], names=["ah", "ch", "_did", "_rk", "pos"])
 
     rows = df.select("_did", "_rk", "text").mapInArrow(emit, "ah long, ch long, _did long, _rk int, pos int").repartition(n, "ah")
-    groups = rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).filter("n > 1").select("ah", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # Both sides of the join below read all columns, so that the texts are scanned and dealt once.
+    seen = F.count(F.when(F.col("pos") + F.col("_rk") >= 0, F.col("_did")))
+    groups = rows.groupBy("ah").agg(seen.alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).filter("n > 1").select("ah", (F.col("c0") != F.col("c1")).alias("mixed"))
     members = _common.cut(rows.join(groups, "ah"), "members")
+    del rows, groups
+    _common.release(spark)
     per_context = members.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("_did", "_rk", "pos")).alias("rep"), F.first("mixed").alias("mixed"))
     contexts = _common.cut(per_context.select("ah", "ch", (F.col("n") > 1).alias("whole"), "mixed", "rep.*"), "contexts")
     mixed = contexts.filter("mixed")
     wide = mixed.groupBy("ah").agg(F.count("*").alias("d")).filter(F.col("d") > most).select("ah", F.lit(True).alias("wide"))
     # The texts around mixed anchors, one of each kind, are read from the documents.
     wanted = mixed.groupBy("_did", "_rk").agg(F.collect_list(F.struct("ah", "ch", "pos", "whole")).alias("at"))
-    size = mixed.count() * 48
 
     def fetch(batches):
         for b in _common.slices(batches, "text", 2 << 20):
@@ -284,8 +280,10 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> t
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], names=["ah", "ch", "whole", "lft", "ctx"])
 
-    fetched = _joined(df.select("_did", "_rk", "text"), wanted, ["_did", "_rk"], "inner", size).select("text", "at").mapInArrow(fetch, "ah long, ch long, whole boolean, lft int, ctx binary")
+    fetched = df.select("_did", "_rk", "text").join(wanted, ["_did", "_rk"]).select("text", "at").mapInArrow(fetch, "ah long, ch long, whole boolean, lft int, ctx binary")
     texts = _common.cut(fetched.join(wide, "ah", "left").withColumn("wide", F.coalesce("wide", F.lit(False))), "texts")
+    del fetched, wanted, per_context
+    _common.release(spark)
 
     def sort_groups(batches):
         """Rows come in order of anchor; whole groups are sorted in batches."""
@@ -305,7 +303,7 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> t
         held, count = [], 0
         for b in batches:
             t = pa.Table.from_batches([b])
-            if count + len(t) > 16_000:
+            if count + len(t) > 6000:
                 # The last group may go on in the next batch.
                 every = pa.concat_tables([*held, t])
                 ah = every.column("ah").to_numpy()
@@ -323,7 +321,7 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> t
     narrow = texts.filter(~F.col("wide")).select("ah", "ch", "lft", "ctx").repartition(n, "ah").sortWithinPartitions("ah", "ch").mapInArrow(sort_groups, f"ah long, ch long, spans {_SPAN_SQL}")
     parts = [narrow]
     if wide.limit(1).count():
-        parts += [_halve(texts.filter("wide").select("ah", "ch", "whole", "lft", "ctx"), length, k)]
+        parts += [_split(texts.filter("wide").select("ah", "ch", "whole", "lft", "ctx"), length, k)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -345,16 +343,18 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _SPAN)], names=["_did", "_rk", "spans"])
 
     done = _common.cut(placed.mapInArrow(merge, f"_did long, _rk int, spans {_SPAN_SQL}"), "covers")
-    rows_, spans_ = done.agg(F.count("*"), F.sum(F.size("spans"))).first()
     for x in (members, contexts, texts):
         _common.discard(x)
-    return done, rows_ * 40 + (spans_ or 0) * 12
+    return done
 
 
-def _halve(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Shared strings of anchors with many contexts: ranges of places are halved until their contexts agree or are alone."""
+def _split(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """Shared strings of anchors with many contexts: ranges of places are split in four until their contexts agree or are alone."""
     reach = length - k
-    todo = texts.select(F.monotonically_increasing_id().alias("r"), "ah", "ch", "lft", "ctx", F.array(F.struct(F.lit(0).alias("s"), F.lit(reach).alias("e"))).alias("ranges"))
+    # The whole range is known to differ, so the first round starts with its quarters.
+    step = -(-(reach + 1) // 4)
+    first = [(s, min(s + step - 1, reach)) for s in range(0, reach + 1, step)]
+    todo = texts.select(F.monotonically_increasing_id().alias("r"), "ah", "ch", "lft", "ctx", F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in first]).alias("ranges"))
     todo = _common.cut(todo, "ranges")
     results = []
     while True:
@@ -381,7 +381,9 @@ def _halve(texts: DataFrame, length: int, k: int) -> DataFrame:
         kernels = counts.groupBy("kernel", "s", "e").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         # Of contexts that agree one goes on, for those that agree with it in a part of the range only.
         judged = _common.cut(marks.join(counts, ["kernel", "s", "e", "whole"]).join(kernels, ["kernel", "s", "e"]).filter("total > 1").select("r", "s", "e", (F.col("n") > 1).alias("hit"), ((F.col("r") == F.col("first")) & (F.col("kinds") > 1) & (F.col("e") > F.col("s"))).alias("go")), "judged")
-        per_row = judged.groupBy("r").agg(F.collect_list(F.when(F.col("hit"), F.struct("s", "e"))).alias("hits"), F.flatten(F.collect_list(F.when(F.col("go"), F.array(F.struct("s", ((F.col("s") + F.col("e")) / 2).cast("int").alias("e")), F.struct((((F.col("s") + F.col("e")) / 2).cast("int") + 1).alias("s"), "e"))))).alias("rest"))
+        step = F.ceil((F.col("e") - F.col("s") + 1) / F.lit(4)).cast("int")
+        quarters = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.struct((F.col("s") + i * step).alias("s"), F.least(F.col("s") + (i + 1) * step - 1, F.col("e")).alias("e")))
+        per_row = judged.groupBy("r").agg(F.collect_list(F.when(F.col("hit"), F.struct("s", "e"))).alias("hits"), F.flatten(F.collect_list(F.when(F.col("go"), F.filter(quarters, lambda x: x["s"] <= x["e"])))).alias("rest"))
         after = _common.cut(todo.drop("ranges").join(per_row, "r"), "ranges")
         results.append(after.filter(F.size("hits") > 0).select("ah", "ch", "lft", F.octet_length("ctx").alias("n"), "hits"))
         todo = after.filter(F.size("rest") > 0).select("r", "ah", "ch", "lft", "ctx", F.col("rest").alias("ranges"))
@@ -414,10 +416,10 @@ def _kept(data: bytes, spans: list[dict[str, int]] | None) -> tuple[bytes, int,
     return b"".join(parts), gone, len(spans)
 
 
-def report(docs: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> DataFrame:
+def report(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     df = keyed(docs.select("doc_id", "text"))
-    found, size = covers(df, length, k, most)
+    found = covers(df, length, k, most)
 
     def run(batches):
         for b in _common.slices(batches, "text"):
@@ -429,17 +431,17 @@ def report(docs: DataFrame, length: int = 200, k: int = 64, most: int = 2000) ->
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _joined(df, found, ["_did", "_rk"], "left", size).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return df.join(found, ["_did", "_rk"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, length: int = 200, k: int = 64, most: int = 2000) -> DataFrame:
+def strip(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> DataFrame:
     """The documents without their repeated strings, with the columns they came with; n_chars follows the text.
 
     What a cut leaves of a character's bytes is dropped.  Documents stay, if only with an empty text."""
     names = docs.columns
     df = keyed(docs)
-    found, size = covers(df.select("_did", "_rk", "text"), length, k, most)
-    joined = _joined(df, found, ["_did", "_rk"], "left", size).select(*names, "spans")
+    found = covers(df.select("_did", "_rk", "text"), length, k, most)
+    joined = df.join(found, ["_did", "_rk"], "left").select(*names, "spans")
     schema = docs.schema
 
     def run(batches):
