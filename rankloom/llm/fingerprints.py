@@ -41,70 +41,131 @@ class OnePermutation:
         self.bins, self.bits, self.words, self.seed = bins, bits, words, seed
         self.shift = np.uint64(64 - bins.bit_length() + 1)
         self.known: dict[bytes, int] = {}
+        self.asked = np.empty((0, bins), np.int32)
+        #: Equal places of a byte by what differs in it.
+        self.equal = np.array([sum(d >> k & ((1 << bits) - 1) == 0 for k in range(0, 8, bits)) for d in range(256)])
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """A hash of each shingle: word hashes combined by place, then mixed."""
-        ws = (text or "").encode().translate(_LOWER).split()
+    def word_hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > 400_000:
             known.clear()
         try:
-            h = np.array([known[w] for w in ws], np.uint64)
+            return np.array([known[w] for w in words], np.uint64)
         except KeyError:
             x = xxhash.xxh64_intdigest
-            for w in ws:
+            for w in words:
                 if w not in known:
                     known[w] = x(w, self.seed)
-            h = np.array([known[w] for w in ws], np.uint64)
+            return np.array([known[w] for w in words], np.uint64)
+
+    def combined(self, h: np.ndarray) -> np.ndarray:
+        """A hash of each shingle: word hashes combined by place, then mixed."""
         k = min(self.words, len(h))
         if not k:
             return h
-        out = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            out = out * _STEP + h[i : len(h) - k + 1 + i]
+        out = h[: len(h) - k + 1].copy()
+        for i in range(1, k):
+            out *= _STEP
+            out += h[i : len(h) - k + 1 + i]
         return _mix(out + np.uint64(k))
 
+    def shingles(self, text: str | None) -> np.ndarray:
+        return self.combined(self.word_hashes((text or "").encode().translate(_LOWER).split()))
+
     def values(self, hashes: np.ndarray) -> np.ndarray | None:
         """The least value of each bin, empty bins densified; None without shingles."""
         if not len(hashes):
             return None
         none = np.uint64(2**64 - 1)
+        # Sorted, the hashes of a bin stand together, the least first.
+        h = np.sort(hashes)
+        at = (h >> self.shift).astype(np.int64)
+        starts = np.empty(len(at), bool)
+        starts[0] = True
+        np.not_equal(at[1:], at[:-1], out=starts[1:])
+        first = starts.nonzero()[0]
+        width = np.uint64(self.bins.bit_length() - 1)
         got = np.full(self.bins, none, np.uint64)
-        at = (hashes >> self.shift).astype(np.int64)
-        low = hashes << np.uint64(self.bins.bit_length() - 1) >> np.uint64(self.bins.bit_length() - 1)
-        np.minimum.at(got, at, low)
+        got[at[first]] = h[first] << width >> width
         filled = got != none
-        out, todo, turn = got.copy(), np.flatnonzero(~filled), 0
+        todo = np.flatnonzero(~filled)
+        share = len(first) / self.bins
+        turn = 0
         while len(todo):
-            turn += 1
-            ask = (_mix(todo.astype(np.uint64) * _STEP + np.uint64(turn * 0x51ED27 + self.seed)) & np.uint64(self.bins - 1)).astype(np.int64)
-            ok = filled[ask]
-            out[todo[ok]] = got[ask[ok]]
+            # As many turns at once as leave few bins, then the rest.
+            step = min(64, max(2, int(-3 / np.log1p(-share)) + 1)) if share < 1 else 2
+            ask = self.turns(turn + step)[turn : turn + step].take(todo, axis=1)
+            hit = filled.take(ask)
+            best = hit.argmax(axis=0)
+            flat = best * len(todo) + np.arange(len(todo))
+            ok = hit.ravel().take(flat)
+            got[todo[ok]] = got.take(ask.ravel().take(flat[ok]))
             todo = todo[~ok]
-        return out
-
-    def packed(self, values: np.ndarray | None) -> str:
+            turn += step
+        return got
+
+    def turns(self, n: int) -> np.ndarray:
+        """Whom each bin asks in each turn of densification, for at least n turns."""
+        if len(self.asked) < n:
+            k = np.arange(1, 2 * n + 1, dtype=np.uint64)[:, None]
+            every = np.arange(self.bins, dtype=np.uint64) * _STEP + (k * np.uint64(0x51ED27) + np.uint64(self.seed))
+            self.asked = (_mix(every) & np.uint64(self.bins - 1)).astype(np.int32)
+        return self.asked
+
+    def packed(self, values: np.ndarray | None) -> bytes:
         if values is None:
-            return ""
+            return b""
         low = (_mix(values) & np.uint64((1 << self.bits) - 1)).astype(np.uint8).reshape(-1, 8 // self.bits)
-        out = np.zeros(len(low), np.uint8)
-        for k in range(low.shape[1]):
-            out = out << np.uint8(self.bits) | low[:, k] if k else low[:, 0]
-        return out.tobytes().hex()
+        out = low[:, 0].copy()
+        for k in range(1, low.shape[1]):
+            out = out << np.uint8(self.bits) | low[:, k]
+        return out.tobytes()
 
     def __call__(self, text: str | None) -> str:
-        return self.packed(self.values(self.shingles(text)))
+        return self.packed(self.values(self.shingles(text))).hex()
 
     def likeness(self, a: str, b: str) -> float:
+        return self.likeness_of_bytes(bytes.fromhex(a), bytes.fromhex(b))
+
+    def likeness_of_bytes(self, a: bytes, b: bytes) -> float:
         if not a or not b:
             return float(a == b)
-        x, y = (np.frombuffer(bytes.fromhex(s), np.uint8) for s in (a, b))
-        d = x ^ y
-        equal = sum(int(np.count_nonzero((d >> np.uint8(k) & np.uint8((1 << self.bits) - 1)) == 0)) for k in range(0, 8, self.bits))
+        equal = int(self.equal[np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)].sum())
         chance = 2.0**-self.bits
         return max(0.0, (equal / self.bins - chance) / (1 - chance))
 
 
+class Hashed:
+    """A text's lower-cased bytes and the hashes of its words."""
+
+    def __init__(self, one: OnePermutation, text: str):
+        self.data = text.encode().translate(_LOWER)
+        self.hashes = one.word_hashes(self.data.split())
+
+
+def spliced(one: OnePermutation, head: Hashed, head_bytes: int, tail: Hashed, tail_bytes: int) -> np.ndarray:
+    """Word hashes of the first bytes of one text followed by the first of another; only words at the cuts are hashed."""
+    a, b = head.data[:head_bytes], tail.data[:tail_bytes]
+    na, nb = len(a.split()), len(b.split())
+    space = b" \t\n\r\x0b\x0c"
+    whole_a = na - (na > 0 and a[-1] not in space and not (head_bytes == len(head.data) or head.data[head_bytes] in space))
+    whole_b = nb - (nb > 0 and b[-1] not in space and not (tail_bytes == len(tail.data) or tail.data[tail_bytes] in space))
+    first_b = 0
+    if na and nb and a[-1] not in space and b[0] not in space:
+        # The last word of the head and the first of the tail are one.
+        middle = a.rsplit(None, 1)[-1] + b.split(None, 1)[0]
+        whole_a, first_b = na - 1, 1
+        parts = [head.hashes[:whole_a], one.word_hashes([middle])]
+    else:
+        parts = [head.hashes[:whole_a]]
+        if whole_a < na:
+            parts.append(one.word_hashes([a.rsplit(None, 1)[-1]]))
+    parts.append(tail.hashes[first_b : max(first_b, whole_b)])
+    if whole_b < nb and nb > first_b:
+        parts.append(one.word_hashes([b.rsplit(None, 1)[-1]]))
+    return np.concatenate(parts)
+
+
 def fingerprints(df: DataFrame, bins: int = 512, bits: int = 4, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row."""
 
@@ -174,14 +235,21 @@ def edit_report(df: DataFrame, bins: int = 512, bits: int = 4, words: int = 5, p
 
     def fn(pairs):
         one, rows = OnePermutation(bins, bits, words), []
-        last_text, last_print, size = None, None, 0
+        last_text, last = None, None
+
+        def prepared(text: str) -> tuple[Hashed, bytes]:
+            h = Hashed(one, text)
+            return h, one.packed(one.values(one.combined(h.hashes)))
+
         for (d, text), following in pairs:
             text, following = text or "", following or ""
-            mine = last_print if last_text == text and last_print is not None else one(text)
-            after = edited(text, following)
-            theirs, edit = one(following), one(after)
-            last_text, last_print = following, theirs
-            rows.append((d, len(text), hashlib.sha256(after.encode()).hexdigest(), mine, edit, one.likeness(mine, edit), one.likeness(mine, theirs)))
+            mine, print_ = last if last is not None and last_text == text else prepared(text)
+            theirs, their_print = prepared(following)
+            half = len(text) // 2
+            head, tail = text[: len(text) - half].encode(), following[:half].encode()
+            edit = one.packed(one.values(one.combined(spliced(one, mine, len(head), theirs, len(tail)))))
+            last_text, last = following, (theirs, their_print)
+            rows.append((d, len(text), hashlib.sha256(head + tail).hexdigest(), print_.hex(), edit.hex(), one.likeness_of_bytes(print_, edit), one.likeness_of_bytes(print_, their_print)))
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
                 rows = []
