@@ -115,6 +115,21 @@ def test_licences(spark, nothing):
         licences.Scanner({"x": "!!"})
 
 
+def test_licences_that_save_nothing_equal_sql(spark):
+    """Capitals and long lines, in which the compressor finds nothing to save, hold the exact wording all the same."""
+    filler = " ".join(f"w{i * 7919 % 10_007}" for i in range(4000))
+    lines = ["ALL RIGHTS RESERVED.", "All Rights Reserved.", "RELEASED UNDER THE MIT LICENSE.", "Copyright 2019 Foo. ALL RIGHTS RESERVED."]
+    lines += [x.upper() for x in licences.TEMPLATES.values()] + [f"{filler} {x} {filler}" for x in licences.TEMPLATES.values()]
+    rows = [(i, f"intro\n{x}") for i, x in enumerate(lines)] + [(100, "\n".join(lines))]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("exact").toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.sql(licences.ORACLE).fetchall()
+    found = got.groupby(["doc_id", "licence"]).line.agg(["count", "min"]).reset_index()
+    assert sorted(map(tuple, found.values.tolist())) == sorted(want) and len(want) == len(lines) + len(licences.TEMPLATES)
+    assert (got.saved <= 0).any()
+
+
 def test_revisits(spark):
     h = {"etag": "a", "date": "1", "server": "x"}
     rows = [
