@@ -20,6 +20,7 @@ import functools
 import random
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,16 @@ def _byte_letters() -> dict[int, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _memo(path: str, pattern: str) -> Memo:
-    """Ids of pieces.  Distinct matches of the pattern go through the tokenizer's model once: the whole tokenizer takes
-    three times as long for each of them, and this gives its ids (the tests compare both)."""
+def _memo(path: str, pattern: str) -> tuple[Memo, list[str], Callable[[str], bytes]]:
+    """Ids of pieces, the file's added tokens, and ids of a text that holds one.  Distinct matches of the pattern go through
+    the tokenizer's model once: the whole tokenizer takes three times as long for each of them, and this gives its ids (the
+    tests compare both).  The model knows no added tokens, so texts that hold one go through the whole tokenizer."""
     import regex
     from tokenizers import Tokenizer
 
-    model, find, letters = Tokenizer.from_file(path).model, regex.compile(pattern).findall, _byte_letters()
+    tokenizer = Tokenizer.from_file(path)
+    model, find, letters = tokenizer.model, regex.compile(pattern).findall, _byte_letters()
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     words: dict[str, bytes] = {}
 
     def ids(texts: list[str]) -> list[bytes]:
@@ -60,7 +64,7 @@ def _memo(path: str, pattern: str) -> Memo:
             out.append(made)
         return out
 
-    return Memo(ids)
+    return Memo(ids), added, lambda x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def token_pieces(df: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,12 +72,14 @@ def token_pieces(df: DataFrame, tokenizer: str, pattern: str, capacity: int = 20
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        memo = _memo(tokenizer, pattern)
+        memo, added, whole = _memo(tokenizer, pattern)
         for b in _common.slices(batches, "text", 8 << 20):
-            cuts = [pieces(x or "") for x in b.column(2).to_pylist()]
+            texts = [x or "" for x in b.column(2).to_pylist()]
+            held = {i: whole(x) for i, x in enumerate(texts) if any(t in x for t in added)}
+            cuts = [pieces("" if i in held else x) for i, x in enumerate(texts)]
             out = []
-            for doc, copy, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), memo.values(cuts)):
-                ids = b"".join(found) + end
+            for i, (doc, copy, found) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), memo.values(cuts))):
+                ids = held.get(i, b"".join(found)) + end
                 n = len(ids) // 4
                 at, k = 0, 0
                 size = n if n <= capacity else n % capacity or capacity

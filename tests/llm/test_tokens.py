@@ -100,6 +100,17 @@ def test_packing(docs, edges, nothing, tokenizer):
     assert packing.pack(packing.token_pieces(nothing, JSON, P.PATTERN)).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    """Texts that hold an added token of the file have the ids of the file's tokenizer as it is."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(JSON)
+    assert whole.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b  c", "<|endoftext|><|endoftext|>\n x", "<|endoftext| >", "plain", "é <|endoftext|>" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(df, packing.pack(packing.token_pieces(df, JSON, P.PATTERN)).collect(), whole)
+
+
 def test_genetic_steps():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(200)]
