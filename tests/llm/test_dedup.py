@@ -197,3 +197,31 @@ def test_collisions_are_verified(monkeypatch):
     contexts = [b"xxAAAAyy", b"xzAAAAyw", b"qqAAAAqq"]
     got = suffix_dedup.shared_strings(contexts, np.array([2, 2, 2]), np.zeros(3, int), 6, 4)
     assert (got == suffix_dedup._exact(contexts, np.array([2, 2, 2]), np.zeros(3, int), 6, 4)).all()
+
+
+def test_near_copies_of_the_pipeline(spark):
+    """Copies of similarity 0.5 to 1, short and blank texts: what stays is what brute force over all pairs leaves."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = ["", " \n", None, "One two", "one TWO", "one two three four five six", "one two three four five six seven"]
+    for c in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randint(0, len(base) // 20)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(own))
+    sets = []
+    for x in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in x or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(bin(plain_simhash(texts[i]) ^ plain_simhash(texts[j])).count("1") > 4 for i, j in near) > 5
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    c = classes(len(texts), near)
+    df = spark.createDataFrame([(d, x, "en", "s", 1) for d, x in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(min(d for d, k in zip(ids, c) if k == g) for g in set(c))
