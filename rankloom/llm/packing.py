@@ -4,14 +4,16 @@ Documents become lists of token ids and one end id; only documents longer than a
 behind a first piece that takes the remainder.  Whole sequences stand alone.  The other pieces are dealt to islands of a
 few thousand.  An island keeps a small population of packings; crossover injects whole well-filled bins of one parent
 into the other, removes the bins that hold a piece twice and puts the displaced pieces into the tightest bins that take
-them.  After an epoch an island's elite, the bins of its best packing that are full, is kept and the pieces of its other
-bins migrate to fewer islands, so that what islands leave over is packed together.  The last epoch keeps all bins.
+them.  After an epoch the full bins of an island's best packing are closed.  Of its other bins the better filled half, its
+elite, migrates to the neighbour island, whole, with the pieces in them; there they make up a parent for crossover, together
+with the bins that stayed.  As pieces leave, islands become fewer, so that what islands leave over is packed together.  The
+last epoch closes all bins.
 
-Islands are tasks' groups of bounded size, nothing but counts goes to the driver, and each epoch ends in a table in the
-shared folder.
+Islands are groups of bounded size, nothing but counts goes to the driver, and each epoch ends in a table in the shared
+folder.
 
 Defined results: null and empty texts are one piece that holds the end id alone; rows that repeat an id are packed each
-(their pieces can be told apart by `copy`); a null id is a document like any other.
+(their pieces can be told apart by `copy`); a null id is a document like any other; ids are cast to longs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import _common
-from rankloom.llm._pieces import Memo, pieces
+from rankloom.llm._pieces import Memo, PieceMemo, pieces
 
 
 def _byte_letters() -> dict[int, int]:
@@ -39,9 +41,9 @@ def _byte_letters() -> dict[int, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _memo(path: str, pattern: str) -> tuple[Memo, list[str], Callable[[str], bytes]]:
+def _memo(path: str, pattern: str) -> tuple[PieceMemo, list[str], Callable[[str], bytes]]:
     """Ids of pieces, the file's added tokens, and ids of a text that holds one.  Distinct matches of the pattern go through
-    the tokenizer's model once: the whole tokenizer takes three times as long for each of them, and this gives its ids (the
+    the tokenizer's model: the whole tokenizer takes three times as long for each of them, and this gives its ids (the
     tests compare both).  The model knows no added tokens, so texts that hold one go through the whole tokenizer."""
     import regex
     from tokenizers import Tokenizer
@@ -49,22 +51,18 @@ def _memo(path: str, pattern: str) -> tuple[Memo, list[str], Callable[[str], byt
     tokenizer = Tokenizer.from_file(path)
     model, find, letters = tokenizer.model, regex.compile(pattern).findall, _byte_letters()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    words: dict[str, bytes] = {}
 
-    def ids(texts: list[str]) -> list[bytes]:
-        if len(words) > 800_000:
-            words.clear()
-        out = []
-        for x in texts:
-            made = b""
-            for w in find(x):
-                if (known := words.get(w)) is None:
-                    known = words[w] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(w.encode().decode("latin-1").translate(letters))])
-                made += known
-            out.append(made)
-        return out
+    def of_words(words: list[str]) -> list[bytes]:
+        return [b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]) for w in words]
 
-    return Memo(ids), added, lambda x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    words = Memo(of_words, 12 << 20)
+
+    def of_pieces(texts: list[str]) -> list[bytes]:
+        cut = [find(x) for x in texts]
+        get = words.table({w for ws in cut for w in ws}).__getitem__
+        return [b"".join(map(get, ws)) for ws in cut]
+
+    return PieceMemo(of_pieces, 36 << 20), added, lambda x: np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def token_pieces(df: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,13 +71,13 @@ def token_pieces(df: DataFrame, tokenizer: str, pattern: str, capacity: int = 20
 
     def run(batches):
         memo, added, whole = _memo(tokenizer, pattern)
-        for b in _common.slices(batches, "text", 8 << 20):
+        for b in _common.slices(batches, "text"):
             texts = [x or "" for x in b.column(2).to_pylist()]
             held = {i: whole(x) for i, x in enumerate(texts) if any(t in x for t in added)}
             cuts = [pieces("" if i in held else x) for i, x in enumerate(texts)]
             out = []
-            for i, (doc, copy, found) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), memo.values(cuts))):
-                ids = held.get(i, b"".join(found)) + end
+            for i, (doc, copy, found) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), memo.joined(cuts))):
+                ids = held.get(i, found) + end
                 n = len(ids) // 4
                 at, k = 0, 0
                 size = n if n <= capacity else n % capacity or capacity
@@ -89,7 +87,7 @@ def token_pieces(df: DataFrame, tokenizer: str, pattern: str, capacity: int = 20
             yield pa.RecordBatch.from_arrays([pa.array(x, y.type) for x, y in zip(zip(*out), _PIECE)] if out else [pa.array([], y.type) for y in _PIECE], schema=_PIECE)
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    return _common.map_batches(source, run, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -136,7 +134,7 @@ def _packed(sizes: list[int], capacity: int, order: list[int]) -> Packing:
 def crossover(a: Packing, b: Packing, share: float, rng: random.Random) -> Packing:
     """The fullest bins of b enter whole; bins of a that hold one of their items are dissolved and the rest is best-fitted."""
     child = Packing(a.sizes, a.capacity)
-    ranked = sorted(range(len(b.bins)), key=lambda k: (b.room[k], rng.random()))
+    ranked = sorted(range(len(b.bins)), key=lambda k: (b.room[k], k))
     taken: set[int] = set()
     for k in ranked[: max(1, int(share * len(ranked)))]:
         child.inject(list(b.bins[k]))
@@ -165,11 +163,29 @@ def mutate(p: Packing, count: int, rng: random.Random) -> Packing:
     return child
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, population: int = 5, generations: int = 12) -> Packing:
-    """The best packing that an island finds; it stops at the lower bound of bins with one bin short of full at most."""
+def _of_groups(sizes: list[int], capacity: int, groups: list[int | None]) -> Packing:
+    """Pieces that came in one bin stay together, the others are best-fitted."""
+    bins: dict[int, list[int]] = {}
+    for i, g in enumerate(groups):
+        if g is not None:
+            bins.setdefault(g, []).append(i)
+    p = Packing(sizes, capacity)
+    for items in bins.values():
+        p.inject(items)
+    for i in sorted((i for i, g in enumerate(groups) if g is None), key=lambda i: -sizes[i]):
+        p.best_fit(i)
+    return p
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, groups: list[int | None] | None = None, population: int = 5, generations: int = 12) -> Packing:
+    """The best packing that an island finds; it stops at the lower bound of bins with one bin short of full at most.
+
+    groups: for each piece the bin that it came to the island in, which makes up one of the first parents."""
     rng = random.Random(seed)
     items = list(range(len(sizes)))
     people = [_packed(sizes, capacity, sorted(items, key=lambda i: -sizes[i]))]
+    if groups is not None and any(g is not None for g in groups):
+        people.append(_of_groups(sizes, capacity, groups))
     least = -(-sum(sizes) // capacity)
     done = lambda p: len(p.bins) <= least and sum(r > 0 for r in p.room) <= 1
     if not items or done(people[0]):
@@ -187,48 +203,55 @@ def evolve(sizes: list[int], capacity: int, seed: int, population: int = 5, gene
     return min(people, key=lambda p: (len(p.bins), -p.fitness()))
 
 
-_BIN = "doc_id long, copy long, piece int, length long, epoch int, island int, bin int, offset long"
+_BIN = "doc_id long, copy long, piece int, length long, epoch int, island int, bin int, offset long, open boolean, elite boolean"
 
 
-def _epoch(rows: DataFrame, islands: int, epoch: int, last: bool, capacity: int) -> DataFrame:
-    """Rows with their bin, or with bin -1 where they migrate."""
+def _epoch(rows: DataFrame, epoch: int, last: bool, capacity: int) -> DataFrame:
+    """Rows (with island, and group: the bin that a piece came in) with their bin, whether it stays open, and whether it is of the elite."""
 
     def one(key, table):
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
         sizes = table.column("length").to_pylist()
-        best = evolve(sizes, capacity, 1000 * epoch + key[0].as_py())
-        keep = [last or r <= 0 for r in best.room]
-        where, offset = [-1] * len(sizes), [0] * len(sizes)
+        best = evolve(sizes, capacity, 1000 * epoch + key[0].as_py(), table.column("group").to_pylist())
+        open_ = [not last and r > 0 for r in best.room]
+        ranked = sorted((k for k, o in enumerate(open_) if o), key=lambda k: (best.room[k], k))
+        elite = set(ranked[: len(ranked) // 2])
+        n = len(sizes)
+        where, offset = [0] * n, [0] * n
         for k, items in enumerate(best.bins):
             at = 0
             for i in items:
-                if keep[k]:
-                    where[i], offset[i] = k, at
+                where[i], offset[i] = k, at
                 at += sizes[i]
-        n = len(sizes)
-        return pa.table({**{c: table.column(c) for c in ("doc_id", "copy", "piece", "length")}, "epoch": pa.array([epoch] * n, pa.int32()), "island": pa.array([key[0].as_py()] * n, pa.int32()), "bin": pa.array(where, pa.int32()), "offset": pa.array(offset, pa.int64())})
+        return pa.table({**{c: table.column(c) for c in ("doc_id", "copy", "piece", "length")}, "epoch": pa.array([epoch] * n, pa.int32()), "island": pa.array([key[0].as_py()] * n, pa.int32()), "bin": pa.array(where, pa.int32()), "offset": pa.array(offset, pa.int64()), "open": pa.array([open_[k] for k in where], pa.bool_()), "elite": pa.array([k in elite for k in where], pa.bool_())})
 
-    dealt = rows.select("doc_id", "copy", "piece", "length", F.pmod(F.xxhash64("copy", "piece", F.lit(epoch)), F.lit(islands)).cast("int").alias("island"))
-    return dealt.groupBy("island").applyInArrow(one, _BIN)
+    # A given number of partitions, since tasks by bytes would put many islands, which cost time and not bytes, into one.
+    n = _common.partitions_for(rows.sparkSession)
+    return rows.select("doc_id", "copy", "piece", "length", "island", "group").repartition(n, "island").groupBy("island").applyInArrow(one, _BIN)
 
 
-def pack(found: DataFrame, capacity: int = 2048, island_size: int = 2000, epochs: int = 3) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 2048, island_size: int = 2000, epochs: int = 4) -> DataFrame:
     """Adds sequence_id and offset to what token_pieces() gave."""
     rows = _common.cut(found, "pieces")
     parts, todo = [], rows.filter(F.col("length") < capacity)
     left = todo.count()
+    islands = max(1, -(-left // island_size))
+    todo = todo.select("doc_id", "copy", "piece", "length", F.pmod(F.xxhash64("copy", "piece"), F.lit(islands)).cast("int").alias("island"), F.lit(None).cast("long").alias("group"))
     for e in range(epochs):
-        islands = max(1, -(-left // island_size))
         last = e == epochs - 1 or islands == 1
-        made = _common.cut(_epoch(todo, islands, e, last, capacity), f"epoch{e}")
-        parts.append(made.filter(F.col("bin") >= 0))
+        made = _common.cut(_epoch(todo, e, last, capacity), f"epoch{e}")
+        parts.append(made.filter(~F.col("open")))
         if last:
             break
-        todo = made.filter(F.col("bin") < 0)
-        left = todo.count()
+        rest = made.filter("open")
+        left = rest.count()
         if not left:
             break
-    bins = functools.reduce(DataFrame.unionByName, [p.select("doc_id", "copy", "piece", "epoch", "island", "bin", "offset") for p in parts])
+        # The elite goes one island on; where islands become fewer, they are folded, bins whole.
+        islands = max(1, min(islands, -(-left // island_size)))
+        to = F.pmod(F.col("island") + F.col("elite").cast("int"), F.lit(islands)).cast("int")
+        todo = rest.select("doc_id", "copy", "piece", "length", to.alias("island"), (F.col("island").cast("long") * F.lit(1 << 20) + F.col("bin")).alias("group"))
+    bins = functools.reduce(DataFrame.unionByName, [p.select("copy", "piece", "epoch", "island", "bin", "offset") for p in parts])
     # A bin's number: epoch, island and place on the island in one; whole sequences have negative numbers.
     placed = bins.select("copy", "piece", "offset", ((F.col("epoch").cast("long") * F.lit(1 << 31) + F.col("island")) * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"))
     alone = rows.filter(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 
 from rankloom.llm import bpe, packing, tiff
-from rankloom.llm._pieces import pieces
+from rankloom.llm._pieces import Memo, pieces
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -60,12 +60,42 @@ def check_bpe(rows, df, reference):
 
 
 def test_bpe_operator(docs, edges, nothing, reference):
-    for df in (docs, edges.filter("doc_id IS NULL OR doc_id <> 7"), nothing):
+    for df in (docs, edges, nothing):
         check_bpe(bpe.encode(df, RANKS, P.PATTERN, keep_ids=False).collect(), df, reference)
     long = bpe.encode(edges.filter("doc_id = 10"), RANKS, P.PATTERN).first()
     assert np.frombuffer(long.ids, "<u4").tolist() == reference.encode_ordinary("idiot idiot idiot you are a moron") and long.decoded == b"idiot idiot idiot you are a moron"
 
 
+def test_long_words(reference):
+    """Words that are encoded in windows: runs, random letters, other scripts, and windows that must grow."""
+    rng = random.Random(12)
+    c = bpe.Codec(RANKS, P.PATTERN)
+    letters = lambda al, n: "".join(rng.choice(al) for _ in range(n))
+    texts = ["x" * 70_000, letters("abcdefghijklmnopqrstuvwxyz", 100_000), "-" * 20_001, " " * 3000 + "a", "=" * 333, "語" * 5000, "ab" * 5000]
+    texts += [letters(rng.choice(["ab", "aeiounrst", "=-", " \n", "xyzé", "語日本", "aaaaaab"]), rng.randint(60, 700)) for _ in range(40)]
+    for x in texts:
+        ids = c.encode(x)
+        assert ids == reference.encode_ordinary(x) and c.decode(ids) == x.encode()
+
+
+def test_decoding_in_parts():
+    c = bpe.Codec(RANKS, P.PATTERN)
+    texts = ["", "one two three", "é 語", "", "four " * 50]
+    got = c.decode_texts(c.encode_pieces(texts), most=7)
+    assert [b"".join(x) for x in got] == [x.encode() for x in texts]
+
+
+def test_memo_forgets_but_stays_right():
+    asked = []
+    m = Memo(lambda xs: asked.extend(xs) or [x.encode() for x in xs], 3000)
+    rng = random.Random(2)
+    for _ in range(300):
+        xs = {str(rng.randrange(60) ** 2) for _ in range(8)} | {"often", "z" * rng.choice([1, 500])}
+        assert m.table(xs) == {x: x.encode() for x in xs}
+        assert m.size <= 1500 and len(m.young) + len(m.old) < 40
+    assert asked.count("often") == 1 and asked.count("z" * 500) > 1
+
+
 def check_packing(df, rows, tokenizer):
     texts = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in df.collect())
     ids = [np.array(e.ids + [0], "<u4") for e in tokenizer.encode_batch([t for _, t in texts], add_special_tokens=False)]
@@ -127,6 +157,49 @@ def test_genetic_steps():
     assert packing.evolve([], 100, 1).bins == []
 
 
+def test_a_migrant_bin_is_a_parent():
+    """Pieces that came in one bin stay together in a first parent; full bins of it survive."""
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 60) for _ in range(80)]
+    groups = [None if i >= 40 else i // 2 for i in range(80)]
+    p = packing._of_groups(sizes, 130, groups)
+    where = {i: k for k, x in enumerate(p.bins) for i in x}
+    assert sorted(where) == list(range(80)) and all(where[2 * g] == where[2 * g + 1] for g in range(20)) and min(p.room) >= 0
+    # The one perfect packing comes with the migrants only.
+    sizes = [7, 3, 6, 4, 5, 5, 8, 2, 9, 1] * 20
+    best = packing.evolve(sizes, 10, 1, [i // 2 for i in range(200)])
+    assert len(best.bins) == 100
+
+
+def test_epochs_migrate(spark, monkeypatch):
+    """Open bins move whole: the elite to the next island, the others stay; pieces are lost by none."""
+    rng = random.Random(6)
+    rows = [(i, i, 0, 0, rng.randint(300, 1500), 1) for i in range(400)]
+    found = spark.createDataFrame(rows, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    seen = []
+    real = packing._epoch
+    monkeypatch.setattr(packing, "_epoch", lambda df, *a: seen.append(df.collect()) or real(df, *a))
+    got = packing.pack(found, island_size=50).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400)) and len(seen) > 1
+    for k in range(1, len(seen)):
+        islands = {r.island for r in seen[k - 1]}
+        where = {r.copy: r.island for r in seen[k - 1]}
+        assert any(r.island != where[r.copy] for r in seen[k]) and len(islands) > 1
+        bins = {}
+        for r in seen[k]:
+            bins.setdefault(r.group, set()).add((r.island, where[r.copy]))
+        assert all(len(x) == 1 for x in bins.values())
+    load = {}
+    for r in got:
+        load.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in load.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
 @pytest.mark.parametrize("name", ["packbits", "lzw"])
 def test_codecs_round_trip(name):
     rng = random.Random(3)
