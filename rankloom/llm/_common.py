@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,6 +90,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield b.slice(i, step)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of a table as one struct `doc`, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def fresh(name: str, names: list[str]) -> str:
+    """The name, drawn out until no column has it."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
