@@ -4,28 +4,31 @@ A byte goes if it lies in a string of `length` bytes that also starts anywhere e
 of a corpus would shuffle each byte hundreds of times, so the sort is sparse:
 
 * Anchors.  Of every `length` bytes, the leftmost k-gram of least hash is an anchor; equal strings have equal anchors at
-  equal places.  Rows of (anchor hash, hash of the context of all strings around the anchor, text, place) are dealt by
-  anchor hash.  Anchors that occur once hold no repeat; contexts that occur twice are repeats as a whole.
+  equal places.  Rows of (anchor hash, digest of the context of all strings around the anchor, text, place) are dealt by
+  anchor hash and sorted.  Anchors that occur once hold no repeat; contexts that occur twice are repeats as a whole.  Such
+  contexts are told by a cryptographic digest of 128 bits, which has nothing in common with the hashes that chose the anchor.
 * Suffix sort.  Where one anchor has different contexts, these are gathered and the suffixes from the anchor on are
   sorted by mergesort.  Two suffixes are compared by their common extension, found by binary search over prefix
   polynomial hashes, in logarithmic time.  Neighbours' common extensions give, for each length to the right, intervals
   of suffixes that agree; suffixes of an interval with equal hashes to the left share a string.  Each pair so found is
   verified byte by byte; a collision sends the batch to an exact comparison.
 * Anchors with more than `most` different contexts aren't gathered.  Their strings are split by place in rounds: a range
-  of places has its own common part and its own context, both only as hashes, which Spark counts with partial sums; a
-  range whose contexts still differ is split in four again, down to single strings.
+  of places has its own common part and its own context, both only as digests, which Spark counts with partial sums; a
+  range whose contexts still differ is split in four again, down to single strings.  What counts as a repeat here agrees
+  in a digest of 128 bits.
 
 Texts are identified by id and a hash of the text.  Defined results: null and empty texts keep nothing and lose nothing;
-texts shorter than `length` keep all; repeated rows repeat each other's strings; null ids are allowed.
+texts shorter than `length` keep all; repeated rows repeat each other's strings; null ids are allowed; ids are cast to longs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import _common
@@ -77,43 +80,41 @@ class Hashes:
 
 
 def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, place, anchor hash, context hash) of every anchor of the texts."""
+    """(number of the text, place, anchor hash, digest of the context as two numbers) of every anchor of the texts."""
     long = [i for i, x in enumerate(texts) if len(x) >= length]
     if not long:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U), np.empty(0, _U)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U), np.empty((0, 2), np.int64)
     sizes = np.array([len(texts[i]) for i in long], np.int64)
-    buf = np.frombuffer(b"".join([texts[i] for i in long]), np.uint8)
+    data = b"".join([texts[i] for i in long])
+    buf = np.frombuffer(data, np.uint8)
     n, w = len(buf), length - k + 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
     hashes = Hashes(buf)
     m = n - k + 1
-    at = np.arange(m)
     grams = (hashes.sums[k:] - hashes.sums[:m]) * hashes.inv[:m]
     owner = np.repeat(np.arange(len(long)), sizes)
-    # Forty bits of hash and the place in the text: the least is the leftmost of the least hashes.
-    order = (_mix(grams) & _U(0xFFFFFFFFFF000000)) | ((at - starts[owner[:m]]).astype(_U) & _U(0xFFFFFF))
-    # Least of every w neighbours: running minima from both ends of blocks of w.
+    # Forty bits of hash and the place in a block of w: a block's least is its leftmost of the least hashes.
+    order = (_mix(grams) & _U(0xFFFFFFFFFF000000)) | (np.arange(m) % w).astype(_U)
+    # Least of every w neighbours: running minima from both ends of the blocks that they touch; of equals the left one.
     pad = -m % w
     blocks = np.concatenate([order, np.full(pad, ~_U(0))]).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[: m - w + 1], ahead[w - 1 : m])
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()[w - 1 : m]
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[: m - w + 1]
     i = np.arange(m - w + 1)
+    left = back >> _U(24) <= ahead >> _U(24)
+    place = np.where(left, i // w * w + (back & _U(0xFFFFFF)).astype(np.int64), (i + w - 1) // w * w + (ahead & _U(0xFFFFFF)).astype(np.int64))
     own = owner[: m - w + 1]
     inside = i + length <= ends[own]
-    i, least, own = i[inside], least[inside], own[inside]
-    # The place from its low bits: within w of the window's start.
-    rel = i - starts[own]
-    place = i + (((least & _U(0xFFFFFF)).astype(np.int64) - rel) & 0xFFFFFF)
+    place, own = place[inside], own[inside]
     keep = np.ones(len(place), bool)
     keep[1:] = place[1:] != place[:-1]
     place, own = place[keep], own[keep]
     reach = length - k
     a, b = np.maximum(place - reach, starts[own]), np.minimum(place + length, ends[own])
-    shape = ((place - a) * (length + 1) + (b - place)).astype(_U)
-    ch = _mix(_mix(hashes.of(a, b - a)) + shape * _U(_BASE))
-    return np.array(long)[own], place - starts[own], _mix(grams[place] + _U(1)), ch
+    digest = hashlib.blake2b
+    found = b"".join([digest(data[x:y] + z, digest_size=16).digest() for x, y, z in zip(a.tolist(), b.tolist(), (place - a).astype("<u4").view("V4").tolist())])
+    return np.array(long)[own], place - starts[own], _mix(grams[place] + _U(1)), np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def merge_sort(hashes: Hashes, at: np.ndarray, size: np.ndarray, group: np.ndarray, limit: int) -> np.ndarray:
@@ -239,6 +240,7 @@ def _spans(flags: np.ndarray, length: int) -> list[dict[str, int]]:
 
 _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _SPAN_SQL = "array<struct<s:int,e:int>>"
+_FOUND = "_did long, _rk int, pos int, spans array<struct<s:int,e:int>>"
 
 
 def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> DataFrame:
@@ -251,38 +253,38 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
     def emit(batches):
         for b in _common.slices(batches, "text", 1 << 20):
             did, rk = b.column(0).to_numpy(), b.column(1).to_numpy()
-            own, place, ah, ch = anchors([(x or "").encode() for x in b.column(2).to_pylist()], length, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(did[own]), pa.array(rk[own]), pa.array(place.astype(np.int32))], names=["ah", "ch", "_did", "_rk", "pos"])
-
-    rows = df.select("_did", "_rk", "text").mapInArrow(emit, "ah long, ch long, _did long, _rk int, pos int").repartition(n, "ah")
-    # Both sides of the join below read all columns, so that the texts are scanned and dealt once.
-    seen = F.count(F.when(F.col("pos") + F.col("_rk") >= 0, F.col("_did")))
-    groups = rows.groupBy("ah").agg(seen.alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).filter("n > 1").select("ah", (F.col("c0") != F.col("c1")).alias("mixed"))
-    members = _common.cut(rows.join(groups, "ah"), "members")
-    del rows, groups
+            own, place, ah, c = anchors([(x or "").encode() for x in b.column(2).to_pylist()], length, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(did[own]), pa.array(rk[own]), pa.array(place.astype(np.int32))], names=["ah", "c0", "c1", "_did", "_rk", "pos"])
+
+    rows = _common.map_batches(df.select("_did", "_rk", "text"), emit, "ah long, c0 long, c1 long, _did long, _rk int, pos int").repartition(n, "ah")
+    # One order of an anchor's rows tells which contexts occur again, and how many there are.
+    anchor = Window.partitionBy("ah")
+    by = anchor.orderBy("c0", "c1")
+    beside = lambda f: F.coalesce((f("c0").over(by) == F.col("c0")) & (f("c1").over(by) == F.col("c1")), F.lit(False))
+    told = rows.select("*", beside(F.lag).alias("again"), beside(F.lead).alias("_next")).select("ah", "_did", "_rk", "pos", "again", (F.col("again") | F.col("_next")).alias("whole"))
+    counted = told.select("*", F.count("*").over(anchor).alias("n"), F.sum((~F.col("again")).cast("int")).over(anchor).alias("kinds")).filter("n > 1")
+    members = _common.cut(counted.select("ah", "_did", "_rk", "pos", "whole", (~F.col("again") & (F.col("kinds") > 1)).alias("asked"), (F.col("kinds") > most).alias("wide")), "members")
+    del rows, told, counted
     _common.release(spark)
-    per_context = members.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("_did", "_rk", "pos")).alias("rep"), F.first("mixed").alias("mixed"))
-    contexts = _common.cut(per_context.select("ah", "ch", (F.col("n") > 1).alias("whole"), "mixed", "rep.*"), "contexts")
-    mixed = contexts.filter("mixed")
-    wide = mixed.groupBy("ah").agg(F.count("*").alias("d")).filter(F.col("d") > most).select("ah", F.lit(True).alias("wide"))
-    # The texts around mixed anchors, one of each kind, are read from the documents.
-    wanted = mixed.groupBy("_did", "_rk").agg(F.collect_list(F.struct("ah", "ch", "pos", "whole")).alias("at"))
+    # The texts around anchors with different contexts, one of each kind, are read from the documents.
+    wanted = members.filter("asked").groupBy("_did", "_rk").agg(F.collect_list(F.struct("ah", "pos", "whole", "wide")).alias("at"))
 
     def fetch(batches):
         for b in _common.slices(batches, "text", 2 << 20):
-            out = [[], [], [], [], []]
-            for text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out = [[], [], [], [], [], [], [], []]
+            for did, rk, text, at in zip(*(b.column(i).to_pylist() for i in range(4))):
                 data = text.encode()
                 for x in at:
                     p = x["pos"]
                     a = max(0, p - reach)
-                    for col, v in zip(out, (x["ah"], x["ch"], x["whole"], p - a, data[a : p + length])):
+                    for col, v in zip(out, (did, rk, p, x["ah"], x["whole"], x["wide"], p - a, data[a : p + length])):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], names=["ah", "ch", "whole", "lft", "ctx"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()))], names=["_did", "_rk", "pos", "ah", "whole", "wide", "lft", "ctx"])
 
-    fetched = df.select("_did", "_rk", "text").join(wanted, ["_did", "_rk"]).select("text", "at").mapInArrow(fetch, "ah long, ch long, whole boolean, lft int, ctx binary")
-    texts = _common.cut(fetched.join(wide, "ah", "left").withColumn("wide", F.coalesce("wide", F.lit(False))), "texts")
-    del fetched, wanted, per_context
+    # Rows that repeat id and text give their contexts once.
+    fetched = df.select("_did", "_rk", "text").join(wanted, ["_did", "_rk"]).select("_did", "_rk", "text", "at").mapInArrow(fetch, "_did long, _rk int, pos int, ah long, whole boolean, wide boolean, lft int, ctx binary")
+    texts = _common.cut(fetched, "texts")
+    del fetched, wanted
     _common.release(spark)
 
     def sort_groups(batches):
@@ -290,15 +292,16 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
 
         def work(held: list[pa.Table]) -> pa.RecordBatch:
             t = pa.concat_tables(held)
-            ah, ch, lft = (t.column(c).to_numpy() for c in ("ah", "ch", "lft"))
+            ah, did, rk, pos, lft, whole = (t.column(c).to_numpy() for c in ("ah", "_did", "_rk", "pos", "lft", "whole"))
             # A row that stands twice in the table gives its context twice; it is a repeat as a whole already.
             once = np.ones(len(ah), bool)
-            once[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])
-            ah, ch, lft = ah[once], ch[once], lft[once].astype(np.int64)
+            once[1:] = (ah[1:] != ah[:-1]) | (did[1:] != did[:-1]) | (rk[1:] != rk[:-1]) | (pos[1:] != pos[:-1])
+            ah, did, rk, pos, lft, whole = (x[once] for x in (ah, did, rk, pos, lft.astype(np.int64), whole))
             ctx = t.column("ctx").filter(pa.array(once)).to_pylist()
             flags = shared_strings(ctx, lft, np.cumsum(np.r_[0, ah[1:] != ah[:-1]]), length, k)
-            hit = np.flatnonzero(flags.any(axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(ah[hit]), pa.array(ch[hit]), pa.array([_spans(flags[i], length) for i in hit], _SPAN)], names=["ah", "ch", "spans"])
+            # A context that is no repeat as a whole occurs once, at the place that it came from.
+            hit = np.flatnonzero(flags.any(axis=1) & ~whole)
+            return pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(rk[hit]), pa.array(pos[hit]), pa.array([_spans(flags[i], length) for i in hit], _SPAN)], names=["_did", "_rk", "pos", "spans"])
 
         held, count = [], 0
         for b in batches:
@@ -318,23 +321,24 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
         if count:
             yield work(held)
 
-    narrow = texts.filter(~F.col("wide")).select("ah", "ch", "lft", "ctx").repartition(n, "ah").sortWithinPartitions("ah", "ch").mapInArrow(sort_groups, f"ah long, ch long, spans {_SPAN_SQL}")
-    parts = [narrow]
+    narrow = texts.filter("NOT wide").select("ah", "_did", "_rk", "pos", "whole", "lft", "ctx").repartition(n, "ah").sortWithinPartitions("ah", "_did", "_rk", "pos")
+    found = _common.map_batches(narrow, sort_groups, _FOUND)
+    tables = [members, texts]
+    wide = texts.filter("wide")
     if wide.limit(1).count():
-        parts += [_split(texts.filter("wide").select("ah", "ch", "whole", "lft", "ctx"), length, k)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    everything = F.array(F.struct(F.lit(-reach).alias("s"), F.lit(length).alias("e")))
-    ranges = contexts.filter("whole").select("ah", "ch", everything.alias("spans")).unionByName(found)
-    placed = members.select("ah", "ch", "_did", "_rk", "pos").join(ranges, ["ah", "ch"]).groupBy("_did", "_rk").agg(F.collect_list(F.struct("pos", "spans")).alias("at"))
+        more, made = _split(wide.select("ah", "_did", "_rk", "pos", "whole", "lft", "ctx"), length, k)
+        found, tables = found.unionByName(more), tables + made
+    # Spans that are null are all strings around the anchor.
+    whole = members.filter("whole").select("_did", "_rk", "pos", F.lit(None).cast(_SPAN_SQL).alias("spans"))
+    placed = whole.unionByName(found).groupBy("_did", "_rk").agg(F.collect_list(F.struct("pos", "spans")).alias("at"))
+    everything = [{"s": -reach, "e": length}]
 
     def merge(batches):
         for b in batches:
             out = []
             for at in b.column(2).to_pylist():
                 merged: list[list[int]] = []
-                for s, e in sorted((max(0, x["pos"] + y["s"]), x["pos"] + y["e"]) for x in at for y in x["spans"]):
+                for s, e in sorted((max(0, x["pos"] + y["s"]), x["pos"] + y["e"]) for x in at for y in (everything if x["spans"] is None else x["spans"])):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
@@ -343,26 +347,28 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _SPAN)], names=["_did", "_rk", "spans"])
 
     done = _common.cut(placed.mapInArrow(merge, f"_did long, _rk int, spans {_SPAN_SQL}"), "covers")
-    for x in (members, contexts, texts):
+    for x in tables:
         _common.discard(x)
     return done
 
 
-def _split(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Shared strings of anchors with many contexts: ranges of places are split in four until their contexts agree or are alone."""
+def _split(texts: DataFrame, length: int, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Shared strings of anchors with many contexts: ranges of places are split in four until their contexts agree or are
+    alone.  Also the tables that this reads."""
     reach = length - k
     # The whole range is known to differ, so the first round starts with its quarters.
     step = -(-(reach + 1) // 4)
     first = [(s, min(s + step - 1, reach)) for s in range(0, reach + 1, step)]
-    todo = texts.select(F.monotonically_increasing_id().alias("r"), "ah", "ch", "lft", "ctx", F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in first]).alias("ranges"))
+    own = ["_did", "_rk", "pos", "whole", "ah", "lft", "ctx"]
+    todo = texts.select(F.monotonically_increasing_id().alias("r"), *own, F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in first]).alias("ranges"))
     todo = _common.cut(todo, "ranges")
-    results = []
+    results, made = [], [todo]
     while True:
 
         def hashes(batches):
             for b in batches:
                 r, ah, lft, ctx, ranges = (b.column(i).to_pylist() for i in range(5))
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for i in range(len(r)):
                     text, at = ctx[i], lft[i]
                     for x in ranges[i]:
@@ -371,22 +377,26 @@ def _split(texts: DataFrame, length: int, k: int) -> DataFrame:
                         if p > q:
                             continue
                         kernel = hashlib.blake2b(ah[i].to_bytes(8, "little", signed=True) + text[max(0, at - x["s"]) : at + length - x["e"]], digest_size=8).digest()
-                        whole = hashlib.blake2b(bytes((p, q)) + text[at - q : at + length - p], digest_size=8).digest()
-                        for col, v in zip(out, (r[i], x["s"], x["e"], int.from_bytes(kernel, "little", signed=True), int.from_bytes(whole, "little", signed=True))):
+                        all_ = hashlib.blake2b(struct.pack("<II", p, q) + text[at - q : at + length - p], digest_size=16).digest()
+                        for col, v in zip(out, (r[i], x["s"], x["e"], *struct.unpack("<q", kernel), *struct.unpack("<qq", all_))):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["r", "s", "e", "kernel", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["r", "s", "e", "kernel", "d0", "d1"])
 
-        marks = _common.cut(todo.select("r", "ah", "lft", "ctx", "ranges").mapInArrow(hashes, "r long, s int, e int, kernel long, whole long"), "marks")
-        counts = marks.groupBy("kernel", "s", "e", "whole").agg(F.count("*").alias("n"), F.min("r").alias("first"))
+        marks = _common.cut(todo.select("r", "ah", "lft", "ctx", "ranges").mapInArrow(hashes, "r long, s int, e int, kernel long, d0 long, d1 long"), "marks")
+        same = ["kernel", "s", "e", "d0", "d1"]
+        counts = marks.groupBy(*same).agg(F.count("*").alias("n"), F.min("r").alias("first"))
         kernels = counts.groupBy("kernel", "s", "e").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         # Of contexts that agree one goes on, for those that agree with it in a part of the range only.
-        judged = _common.cut(marks.join(counts, ["kernel", "s", "e", "whole"]).join(kernels, ["kernel", "s", "e"]).filter("total > 1").select("r", "s", "e", (F.col("n") > 1).alias("hit"), ((F.col("r") == F.col("first")) & (F.col("kinds") > 1) & (F.col("e") > F.col("s"))).alias("go")), "judged")
+        judged = _common.cut(marks.join(counts, same).join(kernels, ["kernel", "s", "e"]).filter("total > 1").select("r", "s", "e", (F.col("n") > 1).alias("hit"), ((F.col("r") == F.col("first")) & (F.col("kinds") > 1) & (F.col("e") > F.col("s"))).alias("go")), "judged")
+        _common.discard(marks)
         step = F.ceil((F.col("e") - F.col("s") + 1) / F.lit(4)).cast("int")
         quarters = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.struct((F.col("s") + i * step).alias("s"), F.least(F.col("s") + (i + 1) * step - 1, F.col("e")).alias("e")))
         per_row = judged.groupBy("r").agg(F.collect_list(F.when(F.col("hit"), F.struct("s", "e"))).alias("hits"), F.flatten(F.collect_list(F.when(F.col("go"), F.filter(quarters, lambda x: x["s"] <= x["e"])))).alias("rest"))
         after = _common.cut(todo.drop("ranges").join(per_row, "r"), "ranges")
-        results.append(after.filter(F.size("hits") > 0).select("ah", "ch", "lft", F.octet_length("ctx").alias("n"), "hits"))
-        todo = after.filter(F.size("rest") > 0).select("r", "ah", "ch", "lft", "ctx", F.col("rest").alias("ranges"))
+        _common.discard(judged)
+        made.append(after)
+        results.append(after.filter((F.size("hits") > 0) & ~F.col("whole")).select("_did", "_rk", "pos", "lft", F.octet_length("ctx").alias("n"), "hits"))
+        todo = after.filter(F.size("rest") > 0).select("r", *own, F.col("rest").alias("ranges"))
         if not todo.limit(1).count():
             break
     out = results[0]
@@ -394,13 +404,15 @@ def _split(texts: DataFrame, length: int, k: int) -> DataFrame:
         out = out.unionByName(x)
     # Strings with p to q bytes left of the anchor cover from -q to length - p.
     spans = F.transform("hits", lambda x: F.struct((-F.least(x["e"], F.col("lft"))).alias("s"), (F.lit(length) - F.greatest(x["s"], F.lit(length) - (F.col("n") - F.col("lft")))).cast("int").alias("e")))
-    return out.select("ah", "ch", spans.alias("spans"))
+    return out.select("_did", "_rk", "pos", spans.alias("spans")), made
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds _did and _rk, which tell texts apart: the id (a hash of the text where it is null) and a hash of the text."""
+    """_did and _rk, which tell texts apart (the id, a hash of the text where it is null, and a hash of the text), the text,
+    and all columns as one struct `doc`."""
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_rk", h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).withColumn("_did", F.coalesce(F.col(id_col).cast("long"), -F.abs(h.bitwiseAND(F.lit((1 << 62) - 1))) - 1))
+    did = F.coalesce(F.col(id_col).cast("long"), -F.abs(h.bitwiseAND(F.lit((1 << 62) - 1))) - 1)
+    return docs.select(did.alias("_did"), h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_rk"), F.col(text_col).alias("text"), _common.packed(docs))
 
 
 def _kept(data: bytes, spans: list[dict[str, int]] | None) -> tuple[bytes, int, int]:
@@ -431,17 +443,18 @@ def report(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) ->
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return df.join(found, ["_did", "_rk"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return df.join(found, ["_did", "_rk"], "left").select(F.col("doc.doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> DataFrame:
     """The documents without their repeated strings, with the columns they came with; n_chars follows the text.
 
-    What a cut leaves of a character's bytes is dropped.  Documents stay, if only with an empty text."""
+    What a cut leaves of a character's bytes is dropped.  Documents stay, if only with an empty text.  Other columns may
+    have any name."""
     names = docs.columns
     df = keyed(docs)
     found = covers(df.select("_did", "_rk", "text"), length, k, most)
-    joined = df.join(found, ["_did", "_rk"], "left").select(*names, "spans")
+    joined = df.join(found, ["_did", "_rk"], "left").select("doc.*", F.col("spans").alias(_common.fresh("spans", names)))
     schema = docs.schema
 
     def run(batches):

@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from rankloom.llm import fingerprints, simhash, suffix_dedup
+from rankloom.llm import fingerprints, near_copies, simhash, suffix_dedup
 
 
 def plain_simhash(text, n=4):
@@ -171,14 +172,61 @@ def test_suffix_dedup_small_strings(spark, most):
 
 
 def test_suffix_dedup_edges(edges, nothing):
-    df = edges.filter("doc_id IS NULL OR doc_id <> 7")
+    df = edges.withColumn("spans", F.lit("mine")).withColumn("_did", F.lit(77))
     check_removed(df, suffix_dedup.report(df, length=20, k=6).collect(), 20)
     assert suffix_dedup.report(nothing).count() == 0
     kept = suffix_dedup.strip(df, length=20, k=6)
     assert kept.columns == df.columns and kept.count() == df.count()
+    assert kept.select("spans", "_did").distinct().collect() == [("mine", 77)]
     assert kept.filter("doc_id = 1").first().text == "" and kept.filter("doc_id = 3").first().text is None
 
 
+def test_anchors_do_not_depend_on_the_place():
+    """Equal strings have equal anchors wherever they stand, ties of hashes included."""
+    rng = random.Random(7)
+    for al in (b"a", b"ab", bytes(range(256))):
+        part = bytes(rng.choice(al) for _ in range(90))
+        want = None
+        for before in (0, 1, 7, 13, 14, 15, 29, 100):
+            text = bytes(rng.choice(b"xyz") for _ in range(before)) + part + b"end"
+            _, place, ah, _ = suffix_dedup.anchors([text], 20, 6)
+            # Windows that lie inside the part have their anchors there.
+            lead = [(p - before, h) for p, h in zip(place.tolist(), ah.tolist()) if before + 20 <= p < before + 60]
+            want = want or lead
+            assert lead and lead == want
+
+
+def test_near_copies_in_blocks(spark):
+    """Many texts that share most of a passage, and fall short of the threshold or just reach it, in blocks of a few."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            own[at] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split() for x in texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    c = classes(len(texts), near)
+    assert 3 < len(set(c)) < 70
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, _row int")
+    for block in (4, 256):
+        got = near_copies.keep_first(df, block=block)
+        assert got.columns == df.columns and {r._row for r in got.collect()} == {1}
+        assert sorted(r.doc_id for r in got.collect()) == sorted(set(c))
+
+
+def test_close_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)] + [np.array([1], np.uint64)]
+    classes_ = rng.integers(0, 12, 31)
+    want = [(i, j) for i in range(31) for j in range(i) if classes_[i] != classes_[j] and near_copies.similarity(sets[i], sets[j]) >= 0.5]
+    for width in (7, 4096):
+        a, b = near_copies.close_pairs(sets, classes_, 0.5, width)
+        assert classes(31, zip(a.tolist(), b.tolist())) == classes(31, want) and set(zip(b.tolist(), a.tolist())) <= set(want)
+
+
 def test_suffix_sort():
     rng = random.Random(8)
     data = bytes(rng.choice(b"ab") for _ in range(400))
