@@ -9,7 +9,8 @@ labelled part that neither was fitted on, and the calibrated views are added up
 What is sampled: at most `labelled` labelled and `pool` unlabelled rows, those of least hash of id, for fitting only; all
 rows are scored, over whole texts.  Labels of the held-out fold are never read.  Defined results: null and empty texts have
 the features zero; a null source, language or length counts as a value of its own; without labels of both classes every
-score is the share of good labels, or 1 without any.
+score is the share of good labels, or 1 without any; of rows that repeat an id one is fitted on, and each is scored; ids are
+cast to longs; an empty table gives no rows; other columns may have any name and are handed through by keep_good().
 """
 
 from __future__ import annotations
@@ -179,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int =
             both = np.c_[t, m].astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("y")), pa.array([x.tobytes() for x in both], pa.binary())], names=["doc_id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
+    # One row of each id, so that ids that repeat send no more to the driver.
+    once = _common.map_batches(rows, run, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.y", "r.x")
+    got = sorted(once.collect(), key=lambda r: (r.doc_id, r.x))
     if not got:
         return CoTrained(1.0)
     x = np.stack([np.frombuffer(r.x, "<f4") for r in got]).astype(float)
@@ -195,7 +198,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t), pa.array(m), pa.array(s)], names=["doc_id", "p_text", "p_meta", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double")
+    return _common.map_batches(rows, run, "doc_id long, p_text double, p_meta double, score double")
 
 
 def keep_good(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
@@ -205,4 +208,4 @@ def keep_good(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> Data
         for b in _common.slices(batches, "text"):
             yield b.filter(pa.array(model.score(*_features(b))[2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _common.map_batches(docs, run, docs.schema)
