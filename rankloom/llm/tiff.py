@@ -2,10 +2,12 @@
 
 The reader follows the chain of image directories (classic TIFF, both byte orders), decodes PackBits, LZW and deflate
 strips and tiles, undoes the horizontal predictor, crops padded tiles and gives one row per page.  Pages have 8-bit
-samples, chunky, one or more samples per pixel.
+samples, one or more per pixel, chunky or in planes.
 
 Defined results: null and empty texts have the payload of one unit of padding; equal texts give equal bytes; a page that
-the reader can't decode gives a row with an error text and no samples; repeated rows give rows each.
+the reader can't decode, or that declares more than MOST samples, gives a row with an error text and no samples, and so does
+a broken link to a further page; repeated rows give rows each; other columns are ignored.  page_digests() takes pages as the
+operators give them and fails on a page with an error, which its own writer never makes.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ UNIT, PAD, WIDTH = 576, 255, 48
 #: Tags and compression numbers of the format (fixed values).
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: "B", 3: "H", 4: "I"}
+#: Samples of a page or block at most; a file that declares more gets an error row.
+MOST = 1 << 28
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -230,27 +234,37 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
 
 
 def read_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """Samples of one page as (rows, width * samples)."""
-    rows, spp = tags[IMAGE_LENGTH][0], tags.get(SAMPLES, [1])[0]
-    if any(b != 8 for b in tags.get(BITS, [8])):
-        raise ValueError("only 8-bit samples are read")
-    width, how = tags[IMAGE_WIDTH][0] * spp, tags.get(COMPRESSION, [NONE])[0]
+    """Samples of one page as (rows, width * samples); planes that are stored apart are put together."""
+    rows, wide, spp = tags[IMAGE_LENGTH][0], tags[IMAGE_WIDTH][0], tags.get(SAMPLES, [1])[0]
+    how, predictor, planar = (tags.get(t, [1])[0] for t in (COMPRESSION, PREDICTOR, PLANAR))
     tiled = TILE_OFFSETS in tags
-    bw = tags[TILE_WIDTH][0] * spp if tiled else width
+    bw = tags[TILE_WIDTH][0] if tiled else wide
     bl = tags[TILE_LENGTH][0] if tiled else min(rows, tags.get(ROWS_PER_STRIP, [rows])[0])
-    across = -(-width // bw)
-    image = np.zeros((rows, width), np.uint8)
-    for k, (at, count) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS])):
+    if any(b != 8 for b in tags.get(BITS, [8])):
+        raise ValueError("only 8-bit samples are read")
+    if min(rows, wide, spp, bw, bl) < 1 or rows * wide * spp > MOST or bl * bw * spp > MOST:
+        raise ValueError("the page's size is out of bounds")
+    if predictor not in (1, 2) or planar not in (1, 2):
+        raise ValueError("the predictor or the planes' order is not known")
+    planes = spp if planar == 2 else 1
+    depth = spp // planes
+    across, down = -(-wide // bw), -(-rows // bl)
+    where, sizes = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
+    if min(len(where), len(sizes)) < planes * across * down:
+        raise ValueError("blocks are missing")
+    image = np.zeros((rows, wide, spp), np.uint8)
+    for k, (at, count) in enumerate(zip(where[: planes * across * down], sizes)):
+        plane, k = divmod(k, across * down)
         y, x = k // across * bl, k % across * bw
         high = bl if tiled else min(bl, rows - y)
-        block = np.frombuffer(decode_block(data[at : at + count], how, high * bw), np.uint8)
-        if len(block) != high * bw:
+        block = np.frombuffer(decode_block(data[at : at + count], how, high * bw * depth), np.uint8)
+        if len(block) != high * bw * depth:
             raise ValueError("a block is short")
-        block = block.reshape(high, bw)
-        if tags.get(PREDICTOR, [1])[0] == 2:
-            block = np.add.accumulate(block.reshape(high, -1, spp), axis=1, dtype=np.uint8).reshape(high, bw)
-        image[y : y + high, x : x + bw] = block[: rows - y, : width - x]
-    return image
+        block = block.reshape(high, bw, depth)
+        if predictor == 2:
+            block = np.add.accumulate(block, axis=1, dtype=np.uint8)
+        image[y : y + high, x : x + bw, plane : plane + depth] = block[: rows - y, : wide - x]
+    return image.reshape(rows, wide * spp)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -281,18 +295,22 @@ _PAGE_SQL = "doc_id long, copy long, n_bytes long, media_bytes long, media_sha25
 
 def page_rows(doc_id, copy, n_bytes: int, media: bytes) -> list[tuple]:
     head = (doc_id, copy, n_bytes, len(media), hashlib.sha256(media).hexdigest())
+    dirs, broken = [], None
     try:
-        dirs = list(directories(media))
+        for tags in directories(media):
+            dirs.append(tags)
     except (ValueError, struct.error) as e:
-        return [(*head, 0, 0, 0, 0, None, str(e))]
+        # The pages before a broken link are read all the same.
+        broken = str(e)
+    pages = len(dirs) + (broken is not None)
     out = []
     for k, tags in enumerate(dirs):
         try:
             image = read_page(media, tags)
-            out.append((*head, k, len(dirs), image.shape[1], image.shape[0], image.tobytes(), None))
+            out.append((*head, k, pages, image.shape[1], image.shape[0], image.tobytes(), None))
         except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-            out.append((*head, k, len(dirs), 0, 0, None, str(e) or type(e).__name__))
-    return out
+            out.append((*head, k, pages, 0, 0, None, str(e) or type(e).__name__))
+    return out if broken is None else [*out, (*head, len(dirs), pages, 0, 0, None, broken)]
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -308,7 +326,7 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             rows = [r for d, c, m in zip(*(b.column(k).to_pylist() for k in range(3))) for r in page_rows(d, c, None, m or b"")]
             yield _table(rows, _PAGE)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(media_col).alias("media")).mapInArrow(run, _PAGE_SQL)
+    return _common.map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(media_col).alias("media")), run, _PAGE_SQL)
 
 
 def text_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +340,7 @@ def text_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows += page_rows(d, c, n, write_tiff(plan_of(payload)))
             yield _table(rows, _PAGE)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text")).mapInArrow(run, _PAGE_SQL)
+    return _common.map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text")), run, _PAGE_SQL)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_pages", pa.int32()), ("feature", pa.string())])
@@ -360,4 +378,4 @@ def page_digests(pages: DataFrame) -> DataFrame:
         if held:
             yield _table([fold(held)], _DIGEST)
 
-    return pages.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pages int, feature string")
+    return _common.map_batches(pages, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pages int, feature string")
