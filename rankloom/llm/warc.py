@@ -12,7 +12,8 @@ finds the latest earlier response.  So a URL that holds a third of all records i
 Records: record_id, url, ts (a number), kind ("response" or "revisit"), status, digest, etag, last_modified, headers (map
 with lower-case names).  Defined results: a record of another kind or status than 200 never answers a revisit; records at
 the same ts are ordered by record_id; a null url, ts or kind resolves nothing and answers nothing, and state says so; of
-headers that are null none are merged.  Repeated rows give rows each.
+headers that are null none are merged.  Repeated rows give rows each; an empty table gives none; other columns are ignored.
+captures(): a page without url or html gives records without them; repeated pages give records each.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ _TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. or m. and default port, path without final slashes or .html, query without tracking
-    fields and in order; no scheme, no fragment."""
+    fields and in order; no scheme, no fragment.  A URL that names no host (no ://) stays as it is."""
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^(www|m)\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"(\.html|/+)$", "")
     query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), _TRACKING, ""), r"^&+", "")
     query = F.array_join(F.array_sort(F.split(query, "&")), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    made = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), made).otherwise(url)
 
 
 def _weak(tag: Column) -> Column:
@@ -45,10 +47,10 @@ def resolve_revisits(records: DataFrame, blocks: int = 1024) -> DataFrame:
     state: resolved, unchecked (no validator to compare), mismatch (the response is named, but neither digest nor headers
     are taken) or missing (no earlier full response)."""
     r = records.select("record_id", "ts", "kind", "status", "digest", "etag", "last_modified", "headers", canonical_url(F.col("url")).alias("canonical_url"))
-    # One row of two numbers cuts the time line.
-    low, high = records.agg(F.min("ts"), F.max("ts")).first()
-    span = max(1, ((high or 0) - (low or 0)) // blocks + 1)
-    r = r.withColumn("_block", F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(span)))
+    # Two numbers cut the time line, a thousandth of the records beyond each, so that outliers don't widen the blocks.
+    low, high = records.agg(F.percentile_approx("ts", [0.001, 0.999], 10_000)).first()[0] or (0, 0)
+    span = max(1, (high - low) // blocks + 1)
+    r = r.withColumn("_block", F.least(F.greatest(F.floor((F.col("ts") - F.lit(low)) / F.lit(span)), F.lit(-1)), F.lit(blocks)))
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & F.col("canonical_url").isNotNull()
     answer = F.struct("ts", "record_id", "digest", "etag", "last_modified", "headers")
     order = F.struct("ts", "record_id")
