@@ -47,7 +47,7 @@ class OnePermutation:
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         try:
             return np.array([known[w] for w in words], np.uint64)
@@ -174,7 +174,7 @@ def fingerprints(df: DataFrame, bins: int = 512, bits: int = 4, words: int = 5,
         for b in _common.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return _common.map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fingerprint string")
 
 
 def with_next(df: DataFrame, fn, schema: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +196,7 @@ def with_next(df: DataFrame, fn, schema: str, parts: int | None = None, id_col:
     tops = {r: k for r, k in dealt.groupBy("_r").agg(F.max("_k")).collect()}
     order = sorted(tops, reverse=True)
     if not order:
-        return rows.mapInArrow(lambda batches: (b for b in ()), schema)
+        return _common.map_batches(rows, lambda batches: (b for b in ()), schema)
     # The first row of the range below, and for the lowest range the first row of all: one row each.
     follows = {order[(i + 1) % len(order)]: r for i, r in enumerate(order)}
     heads = dealt.filter(F.col("_k").isin(list(set(tops.values())))).groupBy("_r", "_k").agg(F.min(F.struct(F.coalesce("text", F.lit("")), "doc_id")).alias("m"))
@@ -216,7 +216,7 @@ def with_next(df: DataFrame, fn, schema: str, parts: int | None = None, id_col:
 
         yield from fn(pairs())
 
-    return sorted_.select("doc_id", "text", "_ghost").mapInArrow(run, schema)
+    return _common.map_batches(sorted_.select("doc_id", "text", "_ghost"), run, schema)
 
 
 def edited(text: str | None, following: str | None) -> str:

@@ -15,7 +15,8 @@ Components: the links of the tries (a spanning forest per bucket) are joined by
 steps in Spark; exact copies share a fingerprint and enter by their least id.
 
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; rows without an id take
-part in components; a component without any id has a null component_id.  Repeated rows are kept.
+part in components; a component without any id has a null component_id.  Repeated rows are kept; ids are cast to longs; an
+empty table gives no rows; other columns may have any name and are handed through by keep_first().
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def fingerprints(df: DataFrame, words: int = 4, seed: int = 42, id_col: str = "d
             fp = np.array([simhash(x, words, seed) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return _common.map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 class _Forest:
@@ -258,7 +259,7 @@ def links(prints: DataFrame, errors: int = 4, bucket: int = 200_000) -> DataFram
                 col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int32, np.int64, np.int64, np.int64))], names=["fp", "k", "v", "p", "q"])
 
-    dealt = keyed.select("fp", "k", "v").mapInArrow(deal, "fp long, k int, v long, p long, q long") if plans else keyed.select("fp", "k", "v", F.lit(-1).cast("long").alias("p"), F.lit(-1).cast("long").alias("q"))
+    dealt = _common.map_batches(keyed.select("fp", "k", "v"), deal, "fp long, k int, v long, p long, q long") if plans else keyed.select("fp", "k", "v", F.lit(-1).cast("long").alias("p"), F.lit(-1).cast("long").alias("q"))
 
     def group_links(fp: np.ndarray, k: int, v: int, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
         s, w = blocks[k]
@@ -314,7 +315,7 @@ def links(prints: DataFrame, errors: int = 4, bucket: int = 200_000) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     n = _common.partitions_for(prints.sparkSession)
-    return dealt.repartition(n, "k", "v", "p", "q").sortWithinPartitions("k", "p", "q", "v").mapInArrow(run, "a long, b long")
+    return _common.map_batches(dealt.repartition(n, "k", "v", "p", "q").sortWithinPartitions("k", "p", "q", "v"), run, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -357,12 +358,10 @@ def near_duplicates(df: DataFrame, words: int = 4, errors: int = 4, seed: int =
 
 def keep_first(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFrame:
     """One document of each component stays: the one with the least id; of repeated rows with that id, one."""
-    names = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = _common.cut(numbered, "rows")
-    prints = _common.cut(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text"), words), "simhash")
-    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.col("_row").alias("r")).alias("o"))
+    rows = _common.cut(docs.select(F.monotonically_increasing_id().alias("_row"), _common.packed(docs)), "rows")
+    prints = _common.cut(fingerprints(rows.select(F.col("_row").alias("doc_id"), F.col("doc.text").alias("text")), words), "simhash")
+    order = rows.select("_row", F.struct(F.col("doc.doc_id").isNull().alias("n"), F.col("doc.doc_id").cast("long").alias("d"), F.col("_row").alias("r")).alias("o"))
     roots = components(links(prints, errors))
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select(F.col("doc_id").alias("_row"), F.coalesce("root", "fp").alias("root"))
     first = of.join(order, "_row").groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.r").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*names)
+    return rows.join(first, "_row", "left_semi").select("doc.*")

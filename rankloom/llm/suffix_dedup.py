@@ -282,7 +282,7 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()))], names=["_did", "_rk", "pos", "ah", "whole", "wide", "lft", "ctx"])
 
     # Rows that repeat id and text give their contexts once.
-    fetched = df.select("_did", "_rk", "text").join(wanted, ["_did", "_rk"]).select("_did", "_rk", "text", "at").mapInArrow(fetch, "_did long, _rk int, pos int, ah long, whole boolean, wide boolean, lft int, ctx binary")
+    fetched = _common.map_batches(df.select("_did", "_rk", "text").join(wanted, ["_did", "_rk"]).select("_did", "_rk", "text", "at"), fetch, "_did long, _rk int, pos int, ah long, whole boolean, wide boolean, lft int, ctx binary")
     texts = _common.cut(fetched, "texts")
     del fetched, wanted
     _common.release(spark)
@@ -346,7 +346,7 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
                 out.append([{"s": s, "e": e} for s, e in merged])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _SPAN)], names=["_did", "_rk", "spans"])
 
-    done = _common.cut(placed.mapInArrow(merge, f"_did long, _rk int, spans {_SPAN_SQL}"), "covers")
+    done = _common.cut(_common.map_batches(placed, merge, f"_did long, _rk int, spans {_SPAN_SQL}"), "covers")
     for x in tables:
         _common.discard(x)
     return done
@@ -382,7 +382,7 @@ def _split(texts: DataFrame, length: int, k: int) -> tuple[DataFrame, list[DataF
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["r", "s", "e", "kernel", "d0", "d1"])
 
-        marks = _common.cut(todo.select("r", "ah", "lft", "ctx", "ranges").mapInArrow(hashes, "r long, s int, e int, kernel long, d0 long, d1 long"), "marks")
+        marks = _common.cut(_common.map_batches(todo.select("r", "ah", "lft", "ctx", "ranges"), hashes, "r long, s int, e int, kernel long, d0 long, d1 long"), "marks")
         same = ["kernel", "s", "e", "d0", "d1"]
         counts = marks.groupBy(*same).agg(F.count("*").alias("n"), F.min("r").alias("first"))
         kernels = counts.groupBy("kernel", "s", "e").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
@@ -443,7 +443,7 @@ def report(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) ->
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return df.join(found, ["_did", "_rk"], "left").select(F.col("doc.doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _common.map_batches(df.join(found, ["_did", "_rk"], "left").select(F.col("doc.doc_id").cast("long").alias("doc_id"), "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> DataFrame:
@@ -470,4 +470,4 @@ def strip(docs: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> D
                 cols[c] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(cols[c].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(run, schema)
+    return _common.map_batches(joined, run, schema)
