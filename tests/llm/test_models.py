@@ -1,11 +1,14 @@
 """Toxicity, quality, licences, revisits, the queries' SQL and the pipeline."""
 
+import math
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rankloom.llm import cotrain, licences, toxicity, warc
@@ -164,24 +167,107 @@ def test_queries_equal_sql(spark, sf, name):
     assert text(a) == text(b)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, tmp_path):
+    """Every stage in a row against a plain version of it over all that the stage before kept."""
     import corpus_pipeline as c
+    import public_tokenizers as P
+    from test_dedup import classes, plain_removed
+    from test_tokens import JSON, check_packing
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     now, seen = docs, {}
     for name, stage in c.STAGES[:-1]:
         before = now
         now = c._common.cut(stage(spark, before, sf), name)
         assert now.columns == docs.columns
-        seen[name] = (before, now)
-    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
-    for name in ("toxicity", "quality", "near_duplicates"):
-        assert ids(seen[name][1]) <= ids(seen[name][0])
-    from rankloom.llm import simhash
-
-    near = simhash.near_duplicates(seen["near_duplicates"][0]).collect()
-    assert ids(seen["near_duplicates"][1]) == {r.component_id for r in near}
-    assert ids(seen["repeats"][1]) == ids(seen["repeats"][0])
+        seen[name] = [{r.doc_id: r for r in x.collect()} for x in (before, now)]
+    before, after = seen["toxicity"]
+    m = toxicity.train(docs, labels)
+    weights = dict(zip(m.columns.tolist(), m.weights.tolist()))
+    assert after == {i: r for i, r in before.items() if plain_score(r.text, weights, m.bias) < 0.3} and len(after) < len(before)
+    before, after = seen["quality"]
+    q = cotrain.train(spark.createDataFrame(list(before.values()), docs.schema), labels)
+    good = lambda r: q.score(cotrain.text_features(r.text)[None], cotrain.meta_features(r.source, r.lang, r.n_chars)[None])[2][0] >= 0.5
+    assert after == {i: r for i, r in before.items() if good(r)} and len(after) < len(before)
+    before, after = seen["near_duplicates"]
+    ids = sorted(before)
+    words = [(before[i].text or "").encode().lower().split() for i in ids]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    k = classes(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert after == {ids[g]: before[ids[g]] for g in set(k)} and len(after) < len(before)
+    before, after = seen["repeats"]
+    data, gone = plain_removed([before[i].text for i in sorted(before)], 200)
+    for i, b, g in zip(sorted(before), data, gone):
+        text = bytes(np.frombuffer(b, np.uint8)[~g]).decode("utf-8", "ignore")
+        assert (after[i].text or "") == text and (after[i].n_chars or 0) == len(text) and after[i].source == before[i].source
     last = c.STAGES[-1][1](spark, now, sf)
-    assert ids(last) == ids(now)
     assert last.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    got = last.collect()
+    assert {r.doc_id for r in got} == set(after)
+    check_packing(now, got, Tokenizer.from_file(JSON))
+
+
+def plain_score(text, weights, bias):
+    """One text's score by loops over its words."""
+    seen = set()
+    for token in (text or "").lower().split():
+        for w in re.findall(r"[^\W\d_]+", token):
+            seen |= {w} | {f"{w[:k]}-{k}" for k in (4, 5) if len(w) >= k}
+    z = bias + sum(weights.get(h, 0.0) for h in {zlib.crc32(x.encode()) % (1 << 22) for x in seen})
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_scores_equal_loops(made):
+    docs, labels, _ = made
+    m = toxicity.train(docs, labels)
+    weights = dict(zip(m.columns.tolist(), m.weights.tolist()))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    assert len(weights) > 3 and all(abs(got[r.doc_id] - plain_score(r.text, weights, m.bias)) < 1e-9 for r in docs.collect())
+
+
+def test_features_chosen_by_spark_are_those_of_the_fit(made):
+    """The fit over all features of the sampled texts, and the one over those that Spark chose, are one."""
+    docs, labels, _ = made
+    rows, prior = toxicity.sample(docs, labels, 4000, 20_000)
+    every = sorted(rows.collect(), key=lambda r: (-r.y, r.doc_id))
+    plain = toxicity.fit([np.array(r.h, np.int32) for r in every], np.array([r.y == 1 for r in every]), prior)
+    made_ = toxicity.train(docs, labels)
+    assert (plain.columns == made_.columns).all() and np.allclose(plain.weights, made_.weights)
+
+
+def test_quality_fit_is_a_minimum():
+    """Newton's result against the numeric gradient of the penalised loss."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=300) > 0).astype(float)
+    m = cotrain.Logistic().fit(x, y)
+    z = np.c_[(x - m.mean) / m.scale, np.ones(300)]
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-(2 * t - 1) * float(r @ w))) for r, t in zip(z, y)) + 0.5 * sum(k * v * v for k, v in zip([1, 1, 1, 1, 1e-3], w))
+
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-4
+        assert abs(loss(m.w + step) - loss(m.w - step)) / 2e-4 < 1e-2
+
+
+def test_urls_without_a_host(spark):
+    urls = ["dns:a.example", "urn:other:b", "https://www.A.com:443/x.html?b=1&utm_source=z#f", None, ""]
+    got = [r.u for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", warc.canonical_url(F.col("url")).alias("u")).orderBy("i").collect()]
+    assert got == ["dns:a.example", "urn:other:b", "a.com/x?b=1", None, ""]
+
+
+def test_clashing_names(edges):
+    """Columns that are called like the operators' own come through."""
+    from rankloom.llm import near_copies, simhash, suffix_dedup
+
+    names = ["_row", "doc", "_did", "_rk", "spans", "root", "node", "o", "at", "found"]
+    df = edges
+    for n in names:
+        df = df.withColumn(n, F.lit(77))
+    m = toxicity.fit([np.array([1], np.int32)], np.array([False]), 0.1)
+    for got in (simhash.keep_first(df), near_copies.keep_first(df), suffix_dedup.strip(df), toxicity.keep_clean(df, m), cotrain.keep_good(df, cotrain.CoTrained(1.0))):
+        assert got.columns == df.columns
+        assert [tuple(r) for r in got.select(*names).distinct().collect()] == [(77,) * len(names)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -229,6 +230,59 @@ def test_broken_files(spark):
     assert got[1].error is None and bytes(got[1].samples) == bytes(96) and all(got[k].error for k in (2, 3, 4))
 
 
+def tiff_by_hand(order, tags, blocks, next_=0):
+    """A file put together apart from the writer: blocks first, then long value lists, then one directory."""
+    e = "<" if order == b"II" else ">"
+    out, at = bytearray(order + struct.pack(e + "HI", 42, 0)), []
+    for b in blocks:
+        at.append(len(out))
+        out += b
+    entries = []
+    for tag, kind, values in sorted(tags + [(273 if not any(t[0] == 322 for t in tags) else 324, 4, at), (279 if not any(t[0] == 322 for t in tags) else 325, 4, [len(b) for b in blocks])]):
+        data = struct.pack(f"{e}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(data) > 4:
+            data, where = struct.pack(e + "I", len(out)), data
+            out += where
+        entries.append(struct.pack(e + "HHI", tag, kind, len(values)) + data.ljust(4, b"\0"))
+    struct.pack_into(e + "I", out, 4, len(out))
+    return bytes(out + struct.pack(e + "H", len(entries)) + b"".join(entries) + struct.pack(e + "I", next_))
+
+
+@pytest.mark.parametrize("order", [b"II", b"MM"])
+def test_files_of_others(order):
+    # The first rows of the LZW example of the format's specification: 7 7 7 8 8 7 7 6 6.
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    lzw = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    size = [(256, 3, [3]), (257, 3, [3]), (277, 3, [1])]
+    page = tiff.read_page(data := tiff_by_hand(order, size + [(258, 3, [8]), (259, 3, [5]), (278, 3, [3])], [lzw]), next(tiff.directories(data)))
+    assert page.tolist() == [[7, 7, 7], [8, 8, 7], [7, 6, 6]]
+    # PackBits: a literal and a run, after the specification's own example.
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    data = tiff_by_hand(order, [(256, 4, [24]), (257, 4, [1]), (258, 3, [8]), (259, 3, [32773]), (278, 4, [1])], [packed])
+    assert tiff.read_page(data, next(tiff.directories(data))).tobytes().hex().upper() == "AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA"
+    # Two planes of two samples, deflate, horizontal predictor; and tiles of three samples that reach beyond the page.
+    data = tiff_by_hand(order, [(256, 3, [2]), (257, 3, [2]), (277, 3, [2]), (258, 3, [8, 8]), (259, 3, [8]), (278, 3, [2]), (284, 3, [2]), (317, 3, [2])], [zlib.compress(bytes([1, 1, 5, 255])), zlib.compress(bytes([9, 0, 9, 1]))])
+    assert tiff.read_page(data, next(tiff.directories(data))).tolist() == [[1, 9, 2, 9], [5, 9, 4, 10]]
+    tile = lambda v: bytes([v] * 16 * 16 * 3)
+    data = tiff_by_hand(order, [(256, 3, [17]), (257, 3, [16]), (277, 3, [3]), (258, 3, [8, 8, 8]), (322, 3, [16]), (323, 3, [16])], [tile(4), tile(6)])
+    assert tiff.read_page(data, next(tiff.directories(data))).tolist() == [[4] * 48 + [6] * 3] * 16
+
+
+def test_hostile_files(spark):
+    base = [(256, 4, [48]), (257, 4, [2]), (258, 3, [8]), (259, 3, [1]), (278, 4, [2])]
+    change = lambda **new: [(t, k, new.get(f"t{t}", v)) for t, k, v in base] + [(int(n[1:]), 4, v) for n, v in new.items() if n[1:] not in {str(t) for t, *_ in base}]
+    files = [change(t256=[0]), change(t278=[0]), change(t257=[1 << 31], t256=[1 << 31]), change(t317=[3]), change(t284=[7]), change(t257=[900], t278=[1]), change(t258=[16]), change(t277=[0])]
+    rows = [(i, bytearray(tiff_by_hand(b"II", t, [bytes(96)]))) for i, t in enumerate(files)]
+    rows.append((100, bytearray(tiff_by_hand(b"II", base, [bytes(range(96))], 99_999))))
+    got = {}
+    for r in tiff.tiff_pages(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert all(len(got[i]) == 1 and got[i][0].error and got[i][0].samples is None for i in range(len(files)))
+    good, bad = sorted(got[100], key=lambda r: r.page)
+    assert bytes(good.samples) == bytes(range(96)) and good.error is None and bad.error and good.pages == bad.pages == 2
+
+
 def test_text_pages(docs, edges, nothing):
     for df in (docs, edges, nothing):
         got = tiff.page_digests(tiff.text_pages(df)).collect()
