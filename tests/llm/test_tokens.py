@@ -142,6 +142,19 @@ def test_packing_of_added_tokens(spark):
     check_packing(df, packing.pack(packing.token_pieces(df, JSON, P.PATTERN)).collect(), whole)
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """Random texts over many scripts, and long runs, against the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(JSON), packing._encoder(JSON, P.PATTERN)
+    rng = random.Random(14)
+    alphabets = ["abc ", "A'sé \n", " \t\r\n\x0b\x0c\x1c\x85\u00a0\u2028\u3000a", "0123.,٣½Ⅷ²", "'sdmtllvere ", "语日本 한글ก็न", "🙂👍🏽\u200d\u0301e", "".join(map(chr, range(1, 0x300))), "_-=+*#<|>endoftx"]
+    texts = ["".join(rng.choice(rng.choice(alphabets) if rng.random() < 0.3 else al) for _ in range(rng.randint(0, 120))) for al in alphabets for _ in range(150)]
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(60)) for _ in range(300)]
+    for x in [*texts, "x" * 20_000, " " * 5000, "ab" * 5000]:
+        assert np.frombuffer(encode(x), "<u4").tolist() == whole.encode(x, add_special_tokens=False).ids, x[:200]
+
+
 def test_genetic_steps():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(200)]
