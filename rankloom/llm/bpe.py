@@ -66,7 +66,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one rank file in one DuckDB connection."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "300MB", most: int = 16 << 20):
+    def __init__(self, path: str, pattern: str, memory: str = "300MB", most: int = 64 << 20):
         ranks = load_ranks(path)
         self.pattern, self.window = regex.compile(pattern), WINDOW
         self.known = Memo(self.encode_words, most)
@@ -217,7 +217,7 @@ class Codec:
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> tuple[Codec, PieceMemo]:
     made = Codec(path, pattern)
-    return made, PieceMemo(made.encode_pieces, 32 << 20)
+    return made, PieceMemo(made.encode_pieces, 160 << 20)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -233,7 +233,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches):
         made, memo = codec(path, pattern)
-        for b in _common.slices(batches, "text", 2 << 20):
+        for b in _common.slices(batches, "text", 4 << 20):
             ids = memo.joined([pieces(x or "") for x in b.column(1).to_pylist()])
             decoded = made.decode_texts(ids)
             if keep_ids:
