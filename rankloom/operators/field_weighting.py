@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.operators import proximity
-from rankloom.operators.weighting import _need, define, idf
+from rankloom.operators.weighting import _need, define, dfs_of, idf
 
 OUT = "docno long, fstart int, fend int, weight double"
 
@@ -25,7 +25,7 @@ def bm25pff(corpus, candidates, features, p):
     """BM25 over frequencies that are weighted by what stands near, per structure field and for the whole document."""
     match = _need(features, "match")
     n_docs, k1, b, avg = corpus.n_docs(), float(p["k1"]), float(p["b"]), float(p["avgdoclen"])
-    dfs = [e.df(corpus) for e, _ in match]
+    dfs = dfs_of(corpus, match)
     common = [d > float(p["maxdf"]) * n_docs for d in dfs]
     ws = [w * idf(n_docs, d) for (_, w), d in zip(match, dfs)]
     same, c, n, struct, key = same_terms(match), config(p), len(match), p["struct"], p["metadata_doclen"]
@@ -64,7 +64,7 @@ def title(corpus, candidates, features, p):
     """Contents under headings that the features cover in order."""
     match = _need(features, "match")
     n, hf, results = len(match), float(p["hf"]), int(p["results"])
-    stop = [e.df(corpus) > float(p["maxdf"]) * corpus.n_docs() for e, _ in match]
+    stop = [d > float(p["maxdf"]) * corpus.n_docs() for d in dfs_of(corpus, match)]
     rows = proximity.gathered(corpus, candidates, match, [], True)
 
     def score(row):

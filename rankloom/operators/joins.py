@@ -88,14 +88,14 @@ def succ(args, range=0, cardinality=0, **_):
     return args[0].select("docno", (F.col("pos") + 1).alias("pos"), "len")
 
 
-def _over(start: int | None, end: int | None = None):
-    w = Window.partitionBy("docno").orderBy("pos")
-    return w.rangeBetween(Window.unboundedPreceding if start is None else start, Window.unboundedFollowing if end is None else end)
+def _up_to_here():
+    return Window.partitionBy("docno").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
 
 
-def _next(i: int, what: Column, ahead: int) -> Column:
-    """What the first row of argument i at or after the position plus `ahead` has."""
-    return F.min(F.when(F.col("arg") == i, F.struct(F.col("pos").alias("at"), what.alias("v")))).over(_over(ahead))["v"]
+def _from(ahead: int):
+    """Rows at the position plus `ahead` and after it.  In descending order this frame only grows, so that Spark carries its
+    aggregates on from row to row."""
+    return Window.partitionBy("docno").orderBy(F.col("pos").desc()).rangeBetween(Window.unboundedPreceding, -ahead)
 
 
 @define("between", "positions of the first argument from a start up to the next end, not included")
@@ -103,10 +103,10 @@ def between(args, range=0, cardinality=0, **_):
     _need(2 <= len(args) <= 3 and not range and not cardinality, "between takes an element, a start and perhaps an end")
     rows = _marked(args)
     end = 2 if len(args) == 3 else 1
-    last_start = F.max(F.when(F.col("arg") == 1, F.col("pos"))).over(_over(None, 0))
+    last_start = F.max(F.when(F.col("arg") == 1, F.col("pos"))).over(_up_to_here())
     # An element is inside if an end follows its last start, and comes after the element.
-    end_after = F.min(F.when(F.col("arg") == end, F.col("pos"))).over(_over(1))
-    closed = F.max(F.when(F.col("arg") == end, F.col("pos"))).over(_over(None, 0))
+    end_after = F.min(F.when(F.col("arg") == end, F.col("pos"))).over(_from(1))
+    closed = F.max(F.when(F.col("arg") == end, F.col("pos"))).over(_up_to_here())
     out = rows.select("*", last_start.alias("s"), end_after.alias("e"), closed.alias("c")).filter(F.col("arg") == 0)
     open_ = F.col("s").isNotNull() & F.col("e").isNotNull()
     if end == 2:
@@ -129,8 +129,8 @@ def _window_end(found: DataFrame, range: int, end: Column, last: Column) -> Data
 
 def _in_range(args: list[DataFrame], range: int, cut: DataFrame | None, dfs: list[int] | None) -> DataFrame:
     rows = _no_cut(cut, _marked(args))
-    nearest = [F.min(F.when(F.col("arg") == i, F.struct(F.col("pos").alias("at"), F.col("len").alias("n")))).over(_over(0)).alias(f"n{i}") for i, _ in enumerate(args)]
-    next_cut = F.min(F.when(F.col("arg") == -1, F.col("pos"))).over(_over(0)).alias("cut")
+    nearest = [F.min(F.when(F.col("arg") == i, F.struct(F.col("pos").alias("at"), F.col("len").alias("n")))).over(_from(0)).alias(f"n{i}") for i, _ in enumerate(args)]
+    next_cut = F.min(F.when(F.col("arg") == -1, F.col("pos"))).over(_from(0)).alias("cut")
     found = rows.select("docno", "pos", "arg", *nearest, next_cut).filter(F.col("arg") >= 0)
     for i, _ in enumerate(args):
         found = found.filter(F.col(f"n{i}").isNotNull())
@@ -227,9 +227,9 @@ def _in_order(args: list[DataFrame], range: int, cut: DataFrame | None, ahead: i
     rows = rows.withColumn("end", F.when(F.col("arg") == last, F.struct(F.col("pos").alias("at"), F.col("len").alias("n"))))
     for i in reversed(_numbers(last)):
         # The end of a match from argument i + 1 on, which starts as near as it can.
-        follow = F.min(F.when(F.col("arg") == i + 1, F.struct(F.col("pos").alias("at"), F.col("end").alias("v")))).over(_over(ahead))["v"]
+        follow = F.min(F.when(F.col("arg") == i + 1, F.struct(F.col("pos").alias("at"), F.col("end").alias("v")))).over(_from(ahead))["v"]
         rows = rows.withColumn("end", F.when(F.col("arg") == i, follow).otherwise(F.col("end")))
-    next_cut = F.min(F.when(F.col("arg") == -1, F.col("pos"))).over(_over(0))
+    next_cut = F.min(F.when(F.col("arg") == -1, F.col("pos"))).over(_from(0))
     found = rows.withColumn("cut", next_cut).filter((F.col("arg") == 0) & F.col("end").isNotNull())
     if cut is not None:
         found = found.filter(F.col("cut").isNull() | (F.col("cut") > F.col("end")["at"]))

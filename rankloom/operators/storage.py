@@ -39,7 +39,7 @@ def stored(value: Column, kind: str) -> Column:
 
 def _without(corpus: Corpus, gone: DataFrame, tables=TABLES) -> Corpus:
     change = {t: getattr(corpus, t).join(gone, "docno", "left_anti").select(*getattr(corpus, t).columns) for t in tables if getattr(corpus, t) is not None}
-    return dataclasses.replace(corpus, **change, _df={}, _n=-1)
+    return dataclasses.replace(corpus, **change, _df={})
 
 
 def delete(corpus: Corpus, docids: DataFrame) -> Corpus:
@@ -62,7 +62,7 @@ def replace(corpus: Corpus, new: Corpus) -> Corpus:
             continue
         moved = theirs.join(numbers, theirs["docno"] == numbers["_new"]).drop("docno", "_new").withColumnRenamed("_docno", "docno")
         out[t] = mine.unionByName(moved.select(*mine.columns))
-    return dataclasses.replace(kept, **out, _df={}, _n=-1)
+    return dataclasses.replace(kept, **out, _df={})
 
 
 def update(corpus: Corpus, part: Corpus | None = None, clear_terms: list[tuple[int, str]] = (), clear_forward: list[tuple[int, str]] = (), clear_attributes: list[tuple[int, str]] = ()) -> Corpus:
@@ -84,7 +84,7 @@ def update(corpus: Corpus, part: Corpus | None = None, clear_terms: list[tuple[i
         if part is not None and getattr(part, table) is not None:
             now = now.unionByName(getattr(part, table).select(*now.columns))
         out[table] = now
-    return dataclasses.replace(corpus, **out, _df={}, _n=-1)
+    return dataclasses.replace(corpus, **out, _df={})
 
 
 def delete_user(corpus: Corpus, username: str) -> Corpus:

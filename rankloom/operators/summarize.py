@@ -149,7 +149,7 @@ def accunear(corpus, ranks, features, p, id):
     """Forward values around matches, by the weights of the matches."""
     match = features.get("match") or []
     n_docs, n, c, dist = corpus.n_docs(), len(match), config(p), int(p["dist_collect"])
-    dfs = [e.df(corpus) for e, _ in match]
+    dfs = weighting.dfs_of(corpus, match)
     rare = [i for i in range(n) if dfs[i] <= float(p["maxdf"]) * n_docs]
     ws = [match[i][1] * weighting.idf(n_docs, dfs[i]) for i in rare]
     norm = math.sqrt(sum(w * w for w in ws)) or 1.0
@@ -181,7 +181,7 @@ def matchphrase(corpus, ranks, features, p, id):
     """The text of the best passage; entities stand in brackets before text that differs."""
     match = features.get("match") or []
     n_docs, c, n = corpus.n_docs(), config(p), len(match)
-    dfs = [e.df(corpus) for e, _ in match]
+    dfs = weighting.dfs_of(corpus, match)
     rare = [i for i in range(n) if dfs[i] <= float(p["maxdf"]) * n_docs] or list(range(n))
     ws, sentences = [match[i][1] * weighting.idf(n_docs, dfs[i]) for i in rare], int(p["sentences"])
     rows = proximity.gathered(corpus, ranks.select("docno").distinct(), [match[i] for i in rare], features.get("punct", []))

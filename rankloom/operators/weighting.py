@@ -43,6 +43,12 @@ def idf(n: int, df: int) -> float:
     return max(0.00001, math.log10((n - df + 0.5) / (df + 0.5))) if n - df + 0.5 > 0 else 0.00001
 
 
+def dfs_of(corpus, features: list) -> list[int]:
+    """Document frequencies of the features, all counted in one job."""
+    corpus.dfs([(t.type.lower(), t.value) for e, _ in features for t in e.terms()])
+    return [e.df(corpus) for e, _ in features]
+
+
 def frequencies(corpus, features: list, candidates: DataFrame | None = None) -> DataFrame:
     """(docno, f, ff): how often each feature matches in a document.  Terms share one scan, expressions have one each."""
     from rankloom.plans.expr import Term
@@ -85,7 +91,7 @@ def _need(features: dict, role: str) -> list:
 def bm25(corpus, candidates, features, p):
     match = _need(features, "match")
     n, k1, b = corpus.n_docs(), float(p["k1"]), float(p["b"])
-    weight = _of_feature([w * idf(n, e.df(corpus)) * (k1 + 1) for e, w in match])
+    weight = _of_feature([w * idf(n, d) * (k1 + 1) for (_, w), d in zip(match, dfs_of(corpus, match))])
     ff = frequencies(corpus, match, candidates)
     if b:
         ff = ff.join(corpus.metadata.select("docno", F.col(p["metadata_doclen"]).cast("double").alias("dl")), "docno")
@@ -143,7 +149,7 @@ def smart(corpus, candidates, features, p):
         return rows.select("docno", F.lit(0).alias("fstart"), F.lit(0).alias("fend"), value.alias("weight"))
     # Candidates times a query's features, a literal list: those that don't match count with ff 0.
     every = candidates.select("docno", F.explode(F.array(*[F.lit(i) for i, _ in enumerate(match)])).alias("f"))
-    rows = every.join(frequencies(corpus, match, candidates), ["docno", "f"], "left").withColumn("ff", F.coalesce("ff", F.lit(0)).cast("double")).withColumn("df", _of_feature([e.df(corpus) for e, _ in match]))
+    rows = every.join(frequencies(corpus, match, candidates), ["docno", "f"], "left").withColumn("ff", F.coalesce("ff", F.lit(0)).cast("double")).withColumn("df", _of_feature(dfs_of(corpus, match)))
     rows = _with_metadata(rows, corpus, names)
     return _summed(rows.select("docno", (_of_feature([w for _, w in match]) * value).alias("w")), candidates)
 

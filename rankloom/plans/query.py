@@ -2,11 +2,14 @@
 
 A scheme (QueryEval) names selection, restriction and exclusion sets, weighting functions, a formula and summarizers.  A
 query gives the features of the sets and its own restrictions.  evaluate() declares the plans; nothing runs but counts of
-earlier selection passes, where there is more than one, and document frequencies of the query's terms.
+earlier selection passes, where there is more than one, document frequencies of the query's terms, in one job, and where
+there are summarizers the ranking.  Documents whose weight is not above DBL_EPSILON are no result, unless a formula or
+fields decide.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from dataclasses import dataclass, field
 
@@ -20,6 +23,8 @@ from rankloom.plans.expr import Expr, Term
 from rankloom.sources.corpus import Corpus
 
 DBL_EPSILON = 2.220446049250313e-16
+#: Up to so many ranks are fixed before they are summarized.
+FIXED_RANKS = 10_000
 
 
 @dataclass
@@ -75,6 +80,10 @@ class Query:
     min_rank: int = 0
     max_ranks: int = 20
 
+    def __post_init__(self) -> None:
+        # Statistics that a client gives hold for this query alone.
+        self.corpus = dataclasses.replace(self.corpus, client_df=dict(self.corpus.client_df))
+
     def feature(self, name: str, expr: Expr, weight: float = 1.0) -> "Query":
         self.features.setdefault(name.lower(), []).append((expr, weight))
         return self
@@ -188,6 +197,9 @@ class Query:
         if not self.max_ranks:
             ranks = ranks.limit(0)
         stats = candidates.agg(F.count("*").alias("ranked")).crossJoin(visited.agg(F.count("*").alias("visited")))
+        if self.scheme.summarizers and self.min_rank + self.max_ranks <= FIXED_RANKS:
+            # Ranked once, not once for each summarizer and feature; a bounded number of rows.
+            ranks = F.broadcast(self.corpus.spark.createDataFrame(ranks.collect(), ranks.schema))
         parts, for_global = [], []
         for c in self.scheme.summarizers:
             features, params = self._call(c)

@@ -67,7 +67,7 @@ def _join(name: str, expr: Join, sql: str | None) -> None:
 
 _TOA = ", ".join((P("a", "the"), P("b", "of"), P("c", "and"), P("q", "", "eos")))
 _join("j01_union", Join("union", (THE, OF)), f"{_TOA} SELECT docno, pos, 1 AS len FROM (SELECT * FROM a UNION SELECT * FROM b)")
-_join("j02_intersect", Join("intersect", (Join("succ", (OF,)), THE)), f"{_TOA} SELECT a.docno, a.pos, 1 AS len FROM a JOIN b ON a.docno = b.docno AND a.pos = b.pos + 1")
+_join("j02_intersect", Join("intersect", (Join("succ", (OF,)), THE)), f"{_TOA} SELECT docno, pos, 1 AS len FROM (SELECT docno, pos FROM a INTERSECT SELECT docno, pos + 1 FROM b)")
 _join("j02c_intersect_card", Join("intersect", (Join("succ", (OF,)), THE, Join("pred", (AND,))), cardinality=2), f"{_TOA} SELECT docno, pos, 1 AS len FROM (SELECT docno, pos FROM a UNION ALL SELECT docno, pos + 1 FROM b UNION ALL SELECT docno, pos - 1 FROM c WHERE pos > 1) GROUP BY docno, pos HAVING count(*) >= 2")
 _join("j03_diff", Join("diff", (THE, Join("succ", (OF,)))), f"{_TOA} SELECT docno, pos, 1 AS len FROM (SELECT docno, pos FROM a EXCEPT SELECT docno, pos + 1 FROM b)")
 _join("j04_contains", Join("contains", (THE, OF, AND)), f"{_TOA} SELECT docno, 1 AS pos, 1 AS len FROM (SELECT docno FROM a INTERSECT SELECT docno FROM b INTERSECT SELECT docno FROM c)")
@@ -110,7 +110,7 @@ _join("j12n_sequence_neg", Join("sequence", _THREE, -20), f"{_TOA}, {_ordered(20
 _join("j13_chain", Join("chain", _THREE, 20), f"{_TOA}, {_ordered(20, 0)} SELECT docno, pos, e - pos + 1 AS len FROM w")
 _join("j14_sequence_struct", Join("sequence_struct", (EOS, *_THREE), 20), f"{_TOA}, {_ordered(20, 1)} SELECT docno, pos, e - pos + 1 AS len FROM w WHERE {_CUT}")
 _join("j15_chain_struct", Join("chain_struct", (EOS, *_THREE), 20), f"{_TOA}, {_ordered(20, 0)} SELECT docno, pos, e - pos + 1 AS len FROM w WHERE {_CUT}")
-_join("j16_sequence_imm", Join("sequence_imm", (OF, THE)), f"{_TOA} SELECT b.docno, b.pos, 2 AS len FROM b JOIN a ON a.docno = b.docno AND a.pos = b.pos + 1")
+_join("j16_sequence_imm", Join("sequence_imm", (OF, THE)), f"{_TOA} SELECT docno, pos, 2 AS len FROM (SELECT docno, pos FROM b INTERSECT SELECT docno, pos - 1 FROM a)")
 
 # Ranked queries ----------------------------------------------------------------------------------------------------------
 
@@ -283,7 +283,7 @@ _R = _FF + ", ranks AS (" + top(_FREQ) + ") "
 _E = "1.0::DOUBLE AS weight, -1 AS idx"
 register("z01_metadata", BASE + _R + f"SELECT docno, 'metadata' AS name, doclen::VARCHAR AS value, {_E} FROM ranks JOIN meta USING (docno)")(lambda c: summary(c, Call("metadata", {}, {"name": "doclen"})))
 register("z02_attribute", BASE + _R + f"SELECT docno, 'attribute' AS name, docid AS value, {_E} FROM ranks JOIN docs USING (docno)")(lambda c: summary(c, Call("attribute", {}, {"name": "docid"})))
-register("z03_content", BASE + _R + "SELECT docno, 'content' AS name, t AS value, 1.0::DOUBLE AS weight, pos AS idx FROM ranks JOIN tok USING (docno) WHERE pos <= 25")(lambda c: summary(c, Call("content", {}, {"type": "orig", "results": 25})))
+register("z03_content", BASE + _R + "SELECT docno, 'content' AS name, t AS value, 1.0::DOUBLE AS weight, pos AS idx FROM (SELECT docno, pos, t FROM tok WHERE pos <= 25) WHERE docno IN (SELECT docno FROM ranks)")(lambda c: summary(c, Call("content", {}, {"type": "orig", "results": 25})))
 _M = ", m AS (SELECT r.docno, f.f, f.w, p.pos, k.t FROM ranks r JOIN post p ON p.docno = r.docno AND p.type = 'word' JOIN feat f ON f.value = p.value JOIN tok k ON k.docno = p.docno AND k.pos = p.pos) "
 register("z04_listmatch", BASE + _R + _M + "SELECT docno, 'listmatch' AS name, pos || ':' || t || '/W' AS value, w::DOUBLE AS weight, pos AS idx FROM (SELECT *, row_number() OVER (PARTITION BY docno ORDER BY f, pos) AS k FROM m) WHERE k <= 10")(
     lambda c: summary(c, Call("listmatch", {"match": "match"}, {"text": "orig", "tag": "tag", "fmt": "{pos}:{text}/{tag}", "results": 10}))
@@ -422,9 +422,7 @@ register("d04_merge", BASE + _FF + ", z AS (" + top(_FREQ, 10, 2) + ") SELECT do
 
 
 def _client(c: Corpus) -> DataFrame:
-    import dataclasses
-
-    q = ranked(dataclasses.replace(c, client_df={}, client_n=-1), scheme(BM25))
+    q = ranked(c, scheme(BM25))
     q.term_statistics("word", W1, 7).global_statistics(50_000)
     return ranks_of(q.evaluate())
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 TOKEN = "[A-Za-z0-9]+|[.!?]"
+#: The key under which the number of documents is remembered.
+COUNT = ("#documents", "")
 
 
 @dataclass
@@ -34,8 +36,8 @@ class Corpus:
     #: (type, value) -> document frequency, and the number of documents, where a client gives them.
     client_df: dict[tuple[str, str], int] = field(default_factory=dict)
     client_n: int = -1
+    #: What was counted, remembered; queries of a collection share it.
     _df: dict[tuple[str, str], int] = field(default_factory=dict)
-    _n: int = -1
 
     @property
     def spark(self) -> SparkSession:
@@ -44,15 +46,16 @@ class Corpus:
     def n_docs(self) -> int:
         if self.client_n >= 0:
             return self.client_n
-        if self._n < 0:
-            self._n = self.docs.count()
-        return self._n
+        if COUNT not in self._df:
+            self._df[COUNT] = self.docs.count()
+        return self._df[COUNT]
 
     def dfs(self, terms: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """Document frequencies of a query's terms: one small aggregate, remembered."""
         need = {t for t in terms if t not in self.client_df and t not in self._df}
         if need:
-            hit = self.postings.filter(F.concat_ws("\x1f", "type", "value").isin([f"{t}\x1f{v}" for t, v in need]) & F.col("type").isin([t for t, _ in need]))
+            # Types and values as they are stored reach the scan; their pairs are told apart after it.
+            hit = self.postings.filter(F.col("type").isin(sorted({t for t, _ in need})) & F.col("value").isin(sorted({v for _, v in need})) & F.concat_ws("\x1f", "type", "value").isin([f"{t}\x1f{v}" for t, v in need]))
             got = {(r["type"], r["value"]): r["df"] for r in hit.groupBy("type", "value").agg(F.countDistinct("docno").alias("df")).collect()}
             self._df.update({t: got.get(t, 0) for t in need})
         return {t: self.client_df.get(t, self._df.get(t, 0)) for t in terms}

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def db(sf):
 
 
 def plain(x):
-    if x is None or x != x:
+    if x is None or (not isinstance(x, (list, tuple, dict, np.ndarray)) and pd.isna(x)):
         return None
     if isinstance(x, (float, np.floating)):
         return round(float(x), 5) + 0.0

@@ -91,6 +91,17 @@ def test_within_of_the_same_argument(data):
     assert got == {(d, p) for d in range(1, DOCS) for p in brute("within", [sets[0], sets[0], sets[1]], d, 9, None, 0)}
 
 
+def test_a_long_document(spark):
+    """One document with many matches: frames that grow are carried on, not made anew for each row."""
+    import time
+
+    a, b = (spark.range(60_000).selectExpr("1L AS docno", f"cast(id * 3 + {k} AS int) AS pos", "1 AS len") for k in (1, 2))
+    began = time.time()
+    assert joins.get("inrange")([a, b], range=2).count() == 60_000 + 59_999
+    assert joins.get("sequence")([a, b], range=1).count() == 60_000
+    assert time.time() - began < 60
+
+
 def test_errors(data):
     _, frames = data
     for name, args, more in (("diff", frames[:1], {}), ("union", frames[:2], {"range": 3}), ("contains", frames[:2], {"cardinality": 3}), ("pred", frames[:2], {}), ("nosuch", frames[:1], {})):
