@@ -268,6 +268,8 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
     _common.release(spark)
     # The texts around anchors with different contexts, one of each kind, are read from the documents.
     wanted = members.filter("asked").groupBy("_did", "_rk").agg(F.collect_list(F.struct("ah", "pos", "whole", "wide")).alias("at"))
+    # A table of known size: Spark sends it to the texts as long as its limit allows, and deals both beyond that.
+    wanted = _common.cut(wanted, "wanted")
 
     def fetch(batches):
         for b in _common.slices(batches, "text", 2 << 20):
@@ -284,7 +286,7 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
     # Rows that repeat id and text give their contexts once.
     fetched = _common.map_batches(df.select("_did", "_rk", "text").join(wanted, ["_did", "_rk"]).select("_did", "_rk", "text", "at"), fetch, "_did long, _rk int, pos int, ah long, whole boolean, wide boolean, lft int, ctx binary")
     texts = _common.cut(fetched, "texts")
-    del fetched, wanted
+    del fetched
     _common.release(spark)
 
     def sort_groups(batches):
@@ -323,7 +325,7 @@ def covers(df: DataFrame, length: int = 200, k: int = 64, most: int = 300) -> Da
 
     narrow = texts.filter("NOT wide").select("ah", "_did", "_rk", "pos", "whole", "lft", "ctx").repartition(n, "ah").sortWithinPartitions("ah", "_did", "_rk", "pos")
     found = _common.map_batches(narrow, sort_groups, _FOUND)
-    tables = [members, texts]
+    tables = [members, texts, wanted]
     wide = texts.filter("wide")
     if wide.limit(1).count():
         more, made = _split(wide.select("ah", "_did", "_rk", "pos", "whole", "lft", "ctx"), length, k)
