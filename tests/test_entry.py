@@ -23,7 +23,8 @@ def plain(x):
     if x is None or (not isinstance(x, (list, tuple, dict, np.ndarray)) and pd.isna(x)):
         return None
     if isinstance(x, (float, np.floating)):
-        return round(float(x), 5) + 0.0
+        # Whole numbers beside missing ones are floats on one side and integers on the other.
+        return int(x) if float(x).is_integer() else round(float(x), 5) + 0.0
     return int(x) if isinstance(x, (int, np.integer, np.bool_)) else x
 
 
