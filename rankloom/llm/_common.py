@@ -41,9 +41,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As cut(), but dealt by a key into buckets, so that a later join by the key moves its other side only."""
+    spark = df.sparkSession
+    n = partitions_for(spark)
+    table = f"rankloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._rankloom_path, out._rankloom_table = path, table
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Remove a table that cut() wrote, once nothing reads it any more."""
+    """Remove a table that cut() or cut_by() wrote, once nothing reads it any more."""
     path = getattr(df, "_rankloom_path", None)
+    if table := getattr(df, "_rankloom_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path:
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
