@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.plans import restrict
@@ -36,8 +36,13 @@ def document_terms(corpus: Corpus, kind: str) -> DataFrame:
 def structure_at(corpus: Corpus, points: DataFrame, level: int = 0) -> DataFrame:
     """For each (docno, pos) the first field of the level that ends after it."""
     fields = corpus.structures.filter(F.col("level") == level).select("docno", F.explode(F.array(F.struct(F.col("hstart").alias("s"), F.col("hend").alias("e")), F.struct(F.col("cstart").alias("s"), F.col("cend").alias("e")))).alias("f")).select("docno", "f.s", "f.e").distinct()
-    hit = points.join(fields, "docno").filter(F.col("e") > F.col("pos"))
-    return hit.groupBy("docno", "pos").agg(F.min(F.struct("e", "s")).alias("f")).select("docno", "pos", F.col("f.s").alias("fstart"), F.col("f.e").alias("fend"))
+    f = F.struct("e", "s")
+    ends = fields.select("docno", F.col("e").alias("at"), f.alias("f"))
+    rows = ends.unionByName(points.select("docno", F.col("pos").alias("at")).distinct(), allowMissingColumns=True)
+    # In descending order the frame only grows: one pass over a document, no pair of a point and a field.
+    after = Window.partitionBy("docno").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.select("docno", F.col("at").alias("pos"), F.col("f").isNull().alias("asked"), F.min("f").over(after).alias("f")).filter("asked AND f IS NOT NULL")
+    return found.select("docno", "pos", F.col("f.s").alias("fstart"), F.col("f.e").alias("fend"))
 
 
 def acl_users(corpus: Corpus, docno: int) -> DataFrame:
