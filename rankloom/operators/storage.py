@@ -164,9 +164,21 @@ class Store:
             if t == "postings":
                 df = df.repartitionByRange("type", "value", "docno").sortWithinPartitions("type", "value", "docno", "pos")
             df.write.parquet(f"{self.path}/{name}/{t}")
-        self.spark.createDataFrame([(name,)], "snapshot string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        self._point(name)
         return name
 
+    def _point(self, name: str) -> None:
+        """Moves the pointer: a finished file is renamed over the old one, so readers see either snapshot, never none."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        new, current = self._path(f"{self.path}/.next-{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT")
+        out = self._fs.create(new)
+        out.write(bytearray(name.encode()))
+        out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, current, options)
+
     def open(self) -> Corpus:
         if not self.exists():
             raise FileNotFoundError(f"no collection in {self.path}")
