@@ -30,9 +30,13 @@ def bm25pff(corpus, candidates, features, p):
     ws = [w * idf(n_docs, d) for (_, w), d in zip(match, dfs)]
     same, c, n, struct, key = same_terms(match), config(p), len(match), p["struct"], p["metadata_doclen"]
     rare = [i for i in range(n) if not common[i]]
-    rows = proximity.gathered(corpus, candidates, match, features.get("punct", []), True, [key])
+    # Candidates without a feature have a row without hits, so that what is found is computed once.
+    rows = candidates.select("docno").join(proximity.gathered(corpus, candidates, match, features.get("punct", []), True, [key]), "docno", "left")
 
     def score(row):
+        if row.hits is None:
+            yield int(row.docno), 0, 0, 0.0
+            return
         found, eos = proximity.split(row.hits, n)
         doclen = float(getattr(row, key) or 0)
         plain = [float(len(f)) for f in found]
@@ -54,9 +58,7 @@ def bm25pff(corpus, candidates, features, p):
                     total += ws[i] * f * (k1 + 1) / (f + k1 * (1 - b + b * size / avg if b else 1.0))
             yield int(row.docno), s, e, total
 
-    scored = proximity.per_row(rows, score, OUT)
-    rest = candidates.select("docno").join(rows.select("docno"), "docno", "left_anti")
-    return scored.unionByName(rest.select("docno", F.lit(0).alias("fstart"), F.lit(0).alias("fend"), F.lit(0.0).alias("weight")))
+    return proximity.per_row(rows, score, OUT)
 
 
 @define("title", ("match",), hf=0.7, results=5, maxdf=1.0)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators import joins
+
 
 @dataclass
 class Config:
@@ -230,15 +232,10 @@ def title_matches(features: list[list[tuple[int, int]]], fields: list[Field], hf
 
 def gathered(corpus, candidates: DataFrame, match: list, punct: list, fields: bool = False, extra: list[str] = ()) -> DataFrame:
     """docno, hits (arrays of feature, position, length; delimiters have feature -1), structures and metadata per candidate."""
-    import functools
-
-    parts = [e.compile(corpus).select("docno", F.lit(i).alias("f"), "pos", "len") for i, (e, _) in enumerate(match)]
-    found = functools.reduce(DataFrame.unionByName, parts).join(candidates.select("docno"), "docno", "left_semi")
-    if punct:
-        ends = functools.reduce(DataFrame.unionByName, [e.compile(corpus).select("docno", F.lit(-1).alias("f"), "pos", "len") for e, _ in punct])
-        found = found.unionByName(ends.join(found.select("docno").distinct(), "docno", "left_semi"))
+    rows = joins._marked([e.compile(corpus) for e, _ in match], [e.compile(corpus) for e, _ in punct])
+    found = rows.select("docno", F.col("arg").alias("f"), "pos", "len").join(candidates.select("docno"), "docno", "left_semi")
     # One row per document: what a query finds in it, bounded by the document's length.
-    out = found.groupBy("docno").agg(F.collect_list(F.struct("f", "pos", "len")).alias("hits"))
+    out = found.groupBy("docno").agg(F.collect_list(F.struct("f", "pos", "len")).alias("hits")).filter(F.exists("hits", lambda h: h["f"] >= 0))
     if fields:
         s = corpus.structures.groupBy("docno").agg(F.collect_list(F.struct("struct", "hstart", "hend", "cstart", "cend")).alias("fields"))
         out = out.join(s, "docno", "left")

@@ -9,9 +9,9 @@ from tests.test_entry import same
 #: Delimiters before the first word, no words, none at all, words of one kind, capitals, repeats, and letters beyond ASCII.
 TEXTS = [
     "The cat of the dog and the bird. One of the two! Version of the and",
-    "... of the. The end",
+    "... of the. An end",
     "No end",
-    "!!! ? . the words come late. of the and",
+    "!!! ? . all the words come late. of the and",
     "Ünder the Österreich, the 12 of 3? of the",
     "",
     ". . . . .",
@@ -42,3 +42,41 @@ def oracle(sf, name):
 
 def test_update_of_documents_that_keep_no_word(spark, odd):
     assert same(entry.queries()["w02_partial_update"](spark, odd).toPandas(), oracle(odd, "w02_partial_update"))
+
+
+NAMES = "w13_differences s16_sizes z04_listmatch j16_sequence_imm g05_metadata s15_check s07_document_terms j08_inrange j09_within s08_structure_at d01_changes d02_statistics_map z08_structheader a04_global_summary s06_forward s17_structure_map s18_field_trees w01_replace".split()
+
+
+@pytest.fixture()
+def not_kept(spark, monkeypatch):
+    from rankloom.sources import corpus
+
+    spark.catalog.clearCache()
+    monkeypatch.setattr(corpus, "KEPT_BYTES", -1)
+    monkeypatch.setattr(corpus, "_BUILT", {})
+
+
+def test_large_collections_are_not_kept(spark, odd, not_kept):
+    from rankloom.sources import corpus
+
+    c = corpus.from_tables(spark, odd)
+    assert not any(getattr(c, t).storageLevel.useMemory for t in ("postings", "forward", "structures"))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_tables_from_texts_equal_sql(spark, odd, not_kept, name):
+    assert same(entry.queries()[name](spark, odd).toPandas(), oracle(odd, name))
+
+
+def test_differences_of_rows(spark, odd, not_kept):
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import storage
+    from rankloom.sources import corpus
+
+    c = corpus.from_tables(spark, odd)
+    more = c.postings.filter("docno = 1 AND pos <= 2").unionByName(c.postings.filter("docno = 9 AND value = 'the' AND pos = 1"))
+    b = corpus.dataclasses.replace(c, postings=c.postings.filter("docno <> 2 AND NOT (docno = 8 AND pos = 3)").unionByName(more).withColumn("len", F.expr("IF(docno = 5 AND pos = 1, 7, len)")))
+    got = {(r["only_in"], r["rows"]) for r in storage.differences(c, b, ("postings",)).collect()}
+    x, y = c.postings, b.postings
+    assert got == {("first", x.exceptAll(y).count()), ("second", y.exceptAll(x).count())}
