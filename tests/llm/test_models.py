@@ -118,6 +118,19 @@ def test_licences(spark, nothing):
         licences.Scanner({"x": "!!"})
 
 
+def test_licences_are_confirmed_only_in_blocks_that_save():
+    scanner = licences.Scanner(licences.TEMPLATES)
+    asked = []
+    saved = scanner.saved
+    scanner.saved = lambda k, ws: asked.append((k, ws)) or (saved(k, ws) if k != "mit" else -1)
+    line = "x " * 9000 + "RELEASED UNDER THE MIT LICENSE. All Rights Reserved. licensed shop"
+    assert [(k, exact) for k, _, exact, _ in scanner.block(line)] == [("all-rights-reserved", True)]
+    assert all(len(ws) <= len(scanner.words[k]) for k, ws in asked)
+    scanner = licences.Scanner(licences.TEMPLATES)
+    assert {k for k, _, exact, _ in scanner.block(line) if exact} == {"all-rights-reserved", "mit"}
+    assert min(scanner.whole.values()) > 0 and scanner.block("licensed shop") == []
+
+
 def test_licences_that_save_nothing_equal_sql(spark):
     """Capitals and long lines, in which the compressor finds nothing to save, hold the exact wording all the same."""
     filler = " ".join(f"w{i * 7919 % 10_007}" for i in range(4000))
