@@ -29,7 +29,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 or more of their shingles of five words) the document with the least id stays."""
+    """Of each group of near copies (0.8 or more of their shingles of five words) the document with the least id stays: links of
+    the SimHash trie join, checked by their shingles, then those beyond its budget of bits."""
     return near_copies.keep_first(docs.select(*COLUMNS))
 
 

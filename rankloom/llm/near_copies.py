@@ -1,14 +1,20 @@
-"""Near copies by similarity of shingles: candidates from MinHash bands, each confirmed by the exact similarity.
+"""Near copies by similarity of shingles: links of the SimHash trie join, then of MinHash bands, each confirmed exactly.
 
 Shingles: texts are lower-cased from A to Z and cut at ASCII white space; every run of `words` words, joined by spaces, is
 hashed by XXH64; a text of no more words than that is one shingle.  Two texts are linked if the Jaccard similarity of their
-sets of shingle hashes is `least` or more.  (SimHash can't give these links: at 0.8 they lie about ten of 64 bits apart.)
+sets of shingle hashes is `least` or more.  Texts with equal sets are one.  Components are those of op1 (`simhash.components`).
 
-Candidates: texts with equal sets are one.  BANDS keys of ROWS least hashes each are made of a set; a pair of similarity 0.8
-agrees in none of them with a chance of 3 in a million, a more similar one more seldom.  A bucket is what agrees in a key.
+The SimHash trie join comes first: a set's fingerprint has a bit set where over half of its hashes set it; `simhash.links`
+joins the tries of all fingerprints within `errors` bits, and sets of one fingerprint are linked to the least of them.  A link
+counts if the similarity of its ends is `least` or more.
 
-* First every set is compared with the least of each bucket that it is in; pairs that agree in fewer than AGREE of the least
-  hashes (six standard deviations below what 0.8 gives) are not compared by their texts.
+That budget can't reach all pairs: at 0.8 they lie about ten of 64 bits apart.  The rest is found between the components that
+the tries leave.  BANDS keys of ROWS least hashes each are made of a set; a pair of similarity 0.8 agrees in none of them with
+a chance of 3 in a million, a more similar one more seldom.  A bucket is what agrees in a key.
+
+* Every set is compared with the least of each bucket that it is in, unless they are connected.  Here and in the links of the
+  tries, pairs that agree in fewer than AGREE of the least hashes (six standard deviations below what 0.8 gives) are not
+  compared by their texts.
 * Buckets that this leaves in several components go on.  Where the largest component has over `block` members, the others
   are compared with LEADERS of it.
 * In the buckets that are still in several components, all others are compared with the largest one and with each other, in
@@ -68,26 +74,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """_row, digest of the set (two numbers), its size, its keys and a byte of every least hash."""
+    """_row, digest of the set (two numbers), its size, its fingerprint, its keys and a byte of every least hash."""
 
     def run(batches):
         for b in _common.slices(batches, "text"):
-            hi, lo, size, keys, signs = [], [], [], [], []
+            hi, lo, size, fp, keys, signs = [], [], [], [], [], []
             for x in b.column(1).to_pylist():
                 found = shingles(x, words)
                 d = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 hi.append(int.from_bytes(d[:8], "little", signed=True))
                 lo.append(int.from_bytes(d[8:], "little", signed=True))
                 size.append(len(found))
+                fp.append(simhash.of_hashes(found))
                 k, sign = sketch(found)
                 keys.append(k)
                 signs.append(sign)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            columns = [b.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(offsets, flat), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "hi", "lo", "size", "keys", "sign"])
+            columns = [b.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "hi", "lo", "size", "fp", "keys", "sign"])
 
-    return _common.map_batches(rows.select("_row", "text"), run, "_row long, hi long, lo long, size int, keys array<long>, sign binary")
+    return _common.map_batches(rows.select("_row", "text"), run, "_row long, hi long, lo long, size int, fp long, keys array<long>, sign binary")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -200,24 +207,28 @@ def _in_blocks(placed: DataFrame, texts: DataFrame, words: int, least: float, bl
     return _common.map_batches(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j"), compare, "a long, b long")
 
 
-def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+def _trie_pairs(sets: DataFrame, errors: int) -> DataFrame:
+    """Pairs of rows (a, b), a > b: the links of the trie join of their fingerprints, and rows with the least of theirs."""
+    of_print = sets.groupBy("fp").agg(F.min("r").alias("m"))
+    near = simhash.links(of_print, errors)
+    for end in "ab":
+        near = near.join(of_print.select(F.col("fp").alias(end), F.col("m").alias(f"_{end}")), end)
+    equal = sets.join(of_print, "fp").filter("r > m").select(F.col("r").alias("a"), F.col("m").alias("b"))
+    return equal.unionByName(near.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")))
+
+
+def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = BLOCK, errors: int = 4) -> DataFrame:
     """One document of each component stays: the one with the least id; of repeated rows with that id, one."""
     # Dealt once, by row: at every size the joins with texts below move narrow tables of rows, and no text again.
     rows = _common.cut_by(docs.select(F.monotonically_increasing_id().alias("_row"), _common.packed(docs)), "rows", "_row")
     texts = rows.select("_row", F.col("doc.text").alias("text"))
     sketches = _common.cut(_sketches(texts, words), "sketches")
     order = F.struct(F.col("doc.doc_id").isNull().alias("n"), F.col("doc.doc_id").cast("long").alias("d"), F.col("_row").alias("r"))
-    ordered = rows.select("_row", order.alias("o")).join(sketches.select("_row", "hi", "lo"), "_row")
-    sets = _common.cut(ordered.groupBy("hi", "lo").agg(F.min("o").alias("o")).select("o", F.col("o.r").alias("r")), "sets")
+    ordered = rows.select("_row", order.alias("o")).join(sketches.select("_row", "hi", "lo", "fp"), "_row")
+    sets = _common.cut(ordered.groupBy("hi", "lo").agg(F.min("o").alias("o"), F.min("fp").alias("fp")).select("o", F.col("o.r").alias("r"), "fp"), "sets")
 
-    keyed = sketches.join(sets.select(F.col("r").alias("_row")), "_row", "left_semi").select(F.explode("keys").alias("key"), F.col("_row").alias("r"), "size")
-    shared = keyed.groupBy("key").agg(F.min("r").alias("m"), F.max("r").alias("x")).filter("m < x").select("key")
-    placed = _common.cut(keyed.join(shared, "key").select("key", "r", "size", F.col("r").alias("c")), "placed")
-
-    def linked(one: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Links of (key, a) and (key, b), where a and b have r, size and c."""
-        close = F.least("a.size", "b.size") >= F.lit(least) * F.greatest("a.size", "b.size")
-        pairs = one.join(leaders, "key").filter((F.col("a.c") != F.col("b.c")) & close).select(F.greatest("a.r", "b.r").alias("a"), F.least("a.r", "b.r").alias("b")).distinct()
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of rows (a, b) that are links."""
         some = _common.cut(pairs, "pairs")
         likely = _common.cut(_likely(some, sketches), "likely")
         _common.discard(some)
@@ -225,6 +236,19 @@ def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, block: int =
         _common.discard(likely)
         return found
 
+    links = checked(_trie_pairs(sets, errors))
+    of = simhash.components(links)
+
+    keyed = sketches.join(sets.select(F.col("r").alias("_row")), "_row", "left_semi").select(F.explode("keys").alias("key"), F.col("_row").alias("r"), "size")
+    shared = keyed.groupBy("key").agg(F.min("r").alias("m"), F.max("r").alias("x")).filter("m < x").select("key")
+    placed = keyed.join(shared, "key").join(of, keyed["r"] == of["node"], "left")
+    placed = _common.cut(placed.select("key", "r", "size", F.coalesce("root", "r").alias("c")), "placed")
+
+    def linked(one: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Links of (key, a) and (key, b), where a and b have r, size and c."""
+        close = F.least("a.size", "b.size") >= F.lit(least) * F.greatest("a.size", "b.size")
+        return checked(one.join(leaders, "key").filter((F.col("a.c") != F.col("b.c")) & close).select(F.greatest("a.r", "b.r").alias("a"), F.least("a.r", "b.r").alias("b")).distinct())
+
     def still_split(of: DataFrame, before: DataFrame) -> DataFrame:
         """Members of the buckets in several components, with their component and the bucket's largest."""
         now = before.select("key", "r", "size").join(of, before["r"] == of["node"], "left").select("key", "r", "size", F.coalesce("root", "r").alias("c"))
@@ -235,7 +259,7 @@ def keep_first(docs: DataFrame, words: int = 5, least: float = 0.8, block: int =
         return after
 
     row = F.struct("r", "size", "c")
-    links = linked(placed.select("key", row.alias("a")), placed.groupBy("key").agg(F.min(row).alias("b")))
+    links = links.unionByName(linked(placed.select("key", row.alias("a")), placed.groupBy("key").agg(F.min(row).alias("b"))))
     of = simhash.components(links)
     placed = still_split(of, placed)
     large = placed.filter(F.col("n_main") > block)

@@ -35,6 +35,16 @@ _LOWER = bytes(range(256)).lower()
 BITS = 64
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """A bit is set where over half of the hashes set it."""
+    n = len(hashes)
+    counts = np.zeros(BITS, np.int64)
+    raw = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
+    for k in range(0, n, 200):
+        counts += np.unpackbits(raw[k : k + 200], axis=1).sum(axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
 def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
     ws = (text or "").encode().translate(_LOWER).split()
     if not ws:
@@ -48,12 +58,7 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
         ends = np.cumsum(lengths) - 1
         starts = (ends + 1 - lengths).tolist()
         hashes = [x(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    n = len(hashes)
-    counts = np.zeros(BITS, np.int64)
-    raw = np.array(hashes, ">u8").view(np.uint8).reshape(n, 8)
-    for k in range(0, n, 200):
-        counts += np.unpackbits(raw[k : k + 200], axis=1).sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return of_hashes(np.array(hashes, np.uint64))
 
 
 def fingerprints(df: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -273,3 +273,25 @@ def test_near_copies_of_the_pipeline(spark):
     got = corpus_pipeline.drop_near_copies(spark, df, "")
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(min(d for d, k in zip(ids, c) if k == g) for g in set(c))
+
+
+def test_near_copies_of_the_tries(spark, monkeypatch):
+    """The pipeline's stage joins the tries of the fingerprints: its pairs connect what all pairs within four bits connect."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 300, 20)] + [" ".join(f"y{rng.randrange(3000)}" for _ in range(300)) for _ in range(5)]
+    found, links = [], simhash.links
+
+    def seen(prints, *more):
+        found.append(([r.fp for r in prints.collect()], [(r.a, r.b) for r in links(prints, *more).collect()]))
+        return links(prints, *more)
+
+    monkeypatch.setattr(simhash, "links", seen)
+    df = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").orderBy("doc_id").collect()] == [0, 15, 16, 17, 18, 19]
+    prints, got = found[0]
+    assert sorted(x & (1 << 64) - 1 for x in prints) == sorted({simhash.of_hashes(near_copies.shingles(x)) for x in texts})
+    near = [(i, j) for i, x in enumerate(prints) for j, y in enumerate(prints[:i]) if bin((x ^ y) & (1 << 64) - 1).count("1") <= 4]
+    assert near and classes(len(prints), near) == classes(len(prints), [(prints.index(a), prints.index(b)) for a, b in got])
