@@ -80,3 +80,26 @@ def test_differences_of_rows(spark, odd, not_kept):
     got = {(r["only_in"], r["rows"]) for r in storage.differences(c, b, ("postings",)).collect()}
     x, y = c.postings, b.postings
     assert got == {("first", x.exceptAll(y).count()), ("second", y.exceptAll(x).count())}
+
+
+def test_check_counts_orphans_and_repeats(spark, odd, not_kept):
+    """Repeats of whole keys only, at positions that other rows share, beyond a word of bits, and without a position."""
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import readers
+    from rankloom.sources import corpus
+
+    c = corpus.from_tables(spark, odd)
+    p = c.postings
+    rows = [("word", "new", 1, 1), ("word", "new", 1, 1), ("word", "new", 1, None), ("word", "new", 1, None), ("word", "other", 1, None), ("word", "lost", 999, 3)]
+    more = spark.createDataFrame(rows, "type string, value string, docno long, pos int").withColumn("len", F.lit(1))
+    b = corpus.dataclasses.replace(c, postings=p.unionByName(p.filter("docno = 10 AND pos IN (70, 120)")).unionByName(more), forward=c.forward.unionByName(c.forward.filter("docno = 10 AND pos = 99")).unionByName(spark.createDataFrame([(888, "orig", None, "x")] * 2, "docno long, type string, pos int, value string").select(*c.forward.columns)))
+    got = {r["table"]: (r["orphans"], r["repeats"]) for r in readers.check(b).collect()}
+
+    def plain(t, keys):
+        known = {r["docno"] for r in b.docs.collect()}
+        rows = [tuple(r[k] for k in keys) for r in t.select(*keys).collect()]
+        return sum(r[keys.index("docno")] not in known for r in rows), len(rows) - len(set(rows))
+
+    assert got == {"postings": plain(b.postings, ["type", "value", "docno", "pos"]), "forward": plain(b.forward, ["docno", "type", "pos"]), "metadata": (0, 0), "attributes": (0, 0)}
+    assert got["postings"] == (1, 4) and got["forward"] == (2, 3)
