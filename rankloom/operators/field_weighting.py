@@ -30,21 +30,19 @@ def bm25pff(corpus, candidates, features, p):
     ws = [w * idf(n_docs, d) for (_, w), d in zip(match, dfs)]
     same, c, n, struct, key = same_terms(match), config(p), len(match), p["struct"], p["metadata_doclen"]
     rare = [i for i in range(n) if not common[i]]
-    # Candidates without a feature have a row without hits, so that what is found is computed once.
-    rows = candidates.select("docno").join(proximity.gathered(corpus, candidates, match, features.get("punct", []), True, [key]), "docno", "left")
+    rows, found_in = proximity.read(corpus, candidates, match, features.get("punct", []), key)
 
     def score(row):
-        if row.hits is None:
+        got = found_in(row)
+        if got is None:
             yield int(row.docno), 0, 0, 0.0
             return
-        found, eos = proximity.split(row.hits, n)
-        doclen = float(getattr(row, key) or 0)
+        found, eos, fields, doclen = got
         plain = [float(len(f)) for f in found]
         per_field = {(0, 0): plain}
         if len(rare) > 1:
             nodes = proximity.touches([found[i] for i in rare], eos, c, [rare.index(same[i]) if same[i] in rare else k for k, i in enumerate(rare)])
             kept = proximity.clustered(nodes, len(rare), c)
-            fields = [proximity.Field(f["struct"], int(f["hstart"]), int(f["hend"]), int(f["cstart"]), int(f["cend"])) for f in (row.fields if row.fields is not None else [])]
             per_field = proximity.field_frequencies(kept, len(rare), len(rare), c, fields, struct)
             per_field = {k: [dict(zip(rare, v)).get(i, 0.0) for i in range(n)] for k, v in per_field.items()}
         for (s, e), ff in per_field.items():

@@ -8,7 +8,9 @@ one per document over candidates that hold a feature.
 from __future__ import annotations
 
 import bisect
+import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import joins
+from rankloom.sources.corpus import DELIMITERS, TOKEN
 
 
 @dataclass
@@ -154,24 +157,31 @@ def field_frequencies(nodes: list[Node], n: int, features: int, c: Config, field
     """Sums of weighted frequencies by feature, for the whole document as (0, 0) and for the contents of structures that
     hold one of the nodes with most touches; nodes in a content meet the features of its header as well."""
     chosen = [f for f in fields if not struct or f.struct == struct]
+    nodes = sorted(nodes, key=lambda x: x.pos)
+    at = [x.pos for x in nodes]
+    # A field's nodes are a run of them: what a field costs is what it holds.
+    within = lambda a, b: nodes[bisect.bisect_left(at, a) : bisect.bisect_left(at, b)]
     for f in chosen:
-        head = {x.feature for x in nodes if f.hstart <= x.pos < f.hend}
-        if head and (f.hstart, f.hend) != (f.cstart, f.cend):
-            for x in nodes:
-                if f.cstart <= x.pos < f.cend:
-                    x.title = max(x.title, len(head - {x.feature}))
-    whole = [0.0] * features
-    for x in nodes:
-        whole[x.feature] += ff_weight(x, n, c)
-    out = {(0, 0): whole}
-    hot = sorted(nodes, key=lambda x: (-x.total(), x.pos))[: c.hotspots]
+        if (f.hstart, f.hend) == (f.cstart, f.cend):
+            continue
+        head = {x.feature for x in within(f.hstart, f.hend)}
+        if head:
+            for x in within(f.cstart, f.cend):
+                x.title = max(x.title, len(head - {x.feature}))
+    weights = [ff_weight(x, n, c) for x in nodes]
+
+    def sums(a: int, b: int) -> list[float]:
+        out = [0.0] * features
+        for k in range(a, b):
+            out[nodes[k].feature] += weights[k]
+        return out
+
+    out = {(0, 0): sums(0, len(nodes))}
+    hot = sorted(x.pos for x in sorted(nodes, key=lambda x: (-x.total(), x.pos))[: c.hotspots])
     for f in chosen:
-        if any(f.cstart <= x.pos < f.cend for x in hot):
-            sums = [0.0] * features
-            for x in nodes:
-                if f.cstart <= x.pos < f.cend:
-                    sums[x.feature] += ff_weight(x, n, c)
-            out[f.cstart, f.cend] = sums
+        k = bisect.bisect_left(hot, f.cstart)
+        if k < len(hot) and hot[k] < f.cend:
+            out[f.cstart, f.cend] = sums(bisect.bisect_left(at, f.cstart), bisect.bisect_left(at, f.cend))
     return out
 
 
@@ -255,6 +265,62 @@ def split(hits, n: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
     return [sorted(set(f)) for f in features], sorted(set(eos))
 
 
+def read(corpus, candidates: DataFrame, match: list, punct: list, key: str) -> tuple[DataFrame, Callable]:
+    """A row per candidate, and what gives occurrences by feature, delimiters, structures and the metadata `key` of a row; of
+    one that no feature matches, nothing.  Where the tables are computed from texts and the features are their terms, a row is
+    a candidate's text, and all of this is found in it: nothing but texts is moved, once."""
+    n = len(match)
+    terms = [(i, e) for i, (e, _) in enumerate(match)] + [(-1, e) for e, _ in punct]
+    texts = corpus.texts()
+    if texts is None or not all(isinstance(getattr(e, "value", None), str) and e.type.lower() in ("word", "eos") for _, e in terms):
+        # Candidates without a feature have a row without hits, so that what is found is computed once.
+        rows = candidates.select("docno").join(gathered(corpus, candidates, match, punct, True, [key]), "docno", "left")
+
+        def of_hits(row):
+            if row.hits is None:
+                return None
+            fields = [Field(f["struct"], int(f["hstart"]), int(f["hend"]), int(f["cstart"]), int(f["cend"])) for f in (row.fields if row.fields is not None else [])]
+            return *split(row.hits, n), fields, float(getattr(row, key) or 0)
+
+        return rows, of_hits
+    rows = texts.join(candidates.select("docno").hint("shuffle_hash"), "docno", "left_semi")
+    counted = key == "doclen" and corpus.metadata is corpus.built_metadata()
+    if not counted:
+        rows = rows.join(corpus.metadata.select("docno", key), "docno", "left")
+    wanted: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    for i, e in terms:
+        for t in (DELIMITERS if e.value == "" else ()) if e.type.lower() == "eos" else (e.value,) if e.value not in DELIMITERS else ():
+            wanted[t.encode()].append((i, e.length))
+    token, ends = re.compile(TOKEN.encode()), frozenset(t.encode() for t in DELIMITERS)
+
+    def of_text(row):
+        # Tokens are ASCII, and so is the lower case of bytes.
+        tokens = token.findall((row.text or "").encode().lower())
+        features: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        eos, stops = [], []
+        for pos, t in enumerate(tokens, 1):
+            if t in ends:
+                stops.append(pos)
+            if t in wanted:
+                for i, length in wanted[t]:
+                    if i < 0:
+                        eos.append(pos)
+                    else:
+                        features[i].append((pos, length))
+        if not any(features):
+            return None
+        return [sorted(set(f)) for f in features], sorted(set(eos)), fields_of(stops, len(tokens)), float(len(tokens) - len(stops) if counted else getattr(row, key) or 0)
+
+    return rows, of_text
+
+
+def fields_of(stops: list[int], last: int) -> list[Field]:
+    """The structures of a text by the places of its delimiters and its last place: those of `corpus.structures`."""
+    ends = [*stops, last + 1]
+    title = [Field("title", 1, stops[0], stops[0], last + 1)] if stops and stops[0] > 1 else []
+    return title + [Field("sentence", a + 1, b, a + 1, b) for a, b in zip([0, *stops], ends) if a + 1 < b]
+
+
 def per_row(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn makes rows of a document's row."""
     import pyspark.sql.types as T

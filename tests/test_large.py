@@ -103,3 +103,58 @@ def test_check_counts_orphans_and_repeats(spark, odd, not_kept):
 
     assert got == {"postings": plain(b.postings, ["type", "value", "docno", "pos"]), "forward": plain(b.forward, ["docno", "type", "pos"]), "metadata": (0, 0), "attributes": (0, 0)}
     assert got["postings"] == (1, 4) and got["forward"] == (2, 3)
+
+
+@pytest.mark.parametrize("params", [{}, {"metadata_doclen": "n_chars", "struct": "title", "hotspots": 2}, {"maxdf": 0.3, "cluster": 0.9}])
+def test_bm25pff_from_texts_equals_that_of_tables(spark, tmp_path, not_kept, params):
+    """Found in a text as in the tables, for candidates without a hit, texts that are null, terms given twice and delimiters."""
+    from rankloom.operators import weighting
+    from rankloom.plans.expr import Term
+    from rankloom.sources import corpus
+
+    c = corpus.from_tables(spark, write(tmp_path, [*TEXTS, None], spark))
+    tables = corpus.dataclasses.replace(c, _texts=None)
+    the, of = Term("word", "the", 2), Term("word", "of")
+    features = {"match": [(the, 1.0), (of, 0.5), (the, 1.0), (Term("eos", ""), 0.1), (Term("word", "."), 1.0)], "punct": [(Term("eos", ""), 1.0)]}
+    candidates = c.docs.select("docno").filter("docno <> 3")
+    got, expected = ([tuple(r) for r in weighting.call("bm25pff", x, candidates, features, {"avgdoclen": 20, **params}).collect()] for x in (c, tables))
+    assert sorted(got) == sorted(expected) and len({r[0] for r in got}) == len(TEXTS)
+
+
+def test_bm25pff_of_a_large_collection_moves_texts_alone(spark, odd, not_kept):
+    """Tokens are no rows but in the selection; structures, lengths and hits aren't dealt one by one."""
+    df = entry.queries()["g02_bm25pff"](spark, odd)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and "collect_list" not in plan and "FlatMap" not in plan
+
+
+def test_fields_cost_what_they_hold():
+    """Sums of fields, nested and empty, against those over all nodes; nodes of a field are found, not sought."""
+    import random
+
+    from rankloom.operators import proximity as p
+
+    rnd = random.Random(5)
+    seen = []
+
+    class Node(p.Node):
+        def __getattribute__(self, name):
+            if name == "pos":
+                seen.append(1)
+            return super().__getattribute__(name)
+
+    c = p.Config(hotspots=400)
+    make = lambda: [Node(i % 3, 5 * i + 1, 1, imm=i % 2, near=1) for i in range(400)]
+    fields = [p.Field("s", 10 * i + 1, 10 * i + 11, 10 * i + 1, 10 * i + 11) for i in range(200)]
+    p.field_frequencies(make(), 3, 3, c, fields)
+    assert len(seen) < 20_000
+    nested = [p.Field("s", a, a + rnd.randrange(9), b := rnd.randrange(2000), b + rnd.randrange(300)) for a in rnd.sample(range(2000), 60)]
+    nodes, got = make(), p.field_frequencies(make(), 3, 3, c, nested)
+    for f in nested:
+        head = {x.feature for x in nodes if f.hstart <= x.pos < f.hend}
+        for x in nodes:
+            if head and (f.hstart, f.hend) != (f.cstart, f.cend) and f.cstart <= x.pos < f.cend:
+                x.title = max(x.title, len(head - {x.feature}))
+    hot = sorted(nodes, key=lambda x: (-x.total(), x.pos))[: c.hotspots]
+    expected = {(f.cstart, f.cend): [sum(p.ff_weight(x, 3, c) for x in nodes if x.feature == k and f.cstart <= x.pos < f.cend) for k in range(3)] for f in nested if any(f.cstart <= x.pos < f.cend for x in hot)}
+    assert got.keys() - {(0, 0)} == expected.keys() and all(got[k] == pytest.approx(v) for k, v in expected.items())
