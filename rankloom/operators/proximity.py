@@ -295,7 +295,7 @@ def read(corpus, candidates: DataFrame, match: list, punct: list, key: str) -> t
 
     def of_text(row):
         # Tokens are ASCII, and so is the lower case of bytes.
-        tokens = token.findall((row.text or "").encode().lower())
+        tokens = token.findall((row.text or b"").lower())
         features: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         eos, stops = [], []
         for pos, t in enumerate(tokens, 1):

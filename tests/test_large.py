@@ -158,3 +158,17 @@ def test_fields_cost_what_they_hold():
     hot = sorted(nodes, key=lambda x: (-x.total(), x.pos))[: c.hotspots]
     expected = {(f.cstart, f.cend): [sum(p.ff_weight(x, 3, c) for x in nodes if x.feature == k and f.cstart <= x.pos < f.cend) for k in range(3)] for f in nested if any(f.cstart <= x.pos < f.cend for x in hot)}
     assert got.keys() - {(0, 0)} == expected.keys() and all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
+@pytest.mark.parametrize("common", [1, 30, 10**6])
+def test_document_terms_of_texts_are_counted_in_rows(spark, tmp_path, not_kept, monkeypatch, common):
+    """Terms that all, some and no frequencies are sent for; no token is a row, and only the others' rows are dealt."""
+    from rankloom.operators import readers
+
+    monkeypatch.setattr(readers, "COMMON_TERMS", common)
+    monkeypatch.setattr(readers, "BATCH_ROWS", 7)
+    sf = write(tmp_path, [*TEXTS, None] * 3, spark)
+    df = entry.queries()["s07_document_terms"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Repartition" not in plan and "Join" not in plan
+    assert same(df.toPandas(), oracle(sf, "s07_document_terms"))
